@@ -5,7 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from factloom.operators.quantities import agreeing_pairs, common_quantities
+from factloom.session import read_table
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p6_quantities(spark: SparkSession, d: str) -> DataFrame:
+    facts = read_table(spark, d, "facts").filter("value_type = 'numeric'")
+    return common_quantities(facts).distinct()
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    facts = read_table(spark, d, "facts").withColumn("measure", F.col("qualifiers")["measure"]).filter("measure is not null")
+    pairs = agreeing_pairs(common_quantities(facts, ("fact_id", "measure")), "fact_id", "measure", "quantity")
+    return pairs.toDF("fact_a", "fact_b")
+
+
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in (p6_quantities, p6_found)}
