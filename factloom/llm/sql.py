@@ -55,7 +55,7 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 
 P9_FOUND = r"""
 WITH g AS (
-  SELECT DISTINCT doc_id, hash(substr(text, i, 400)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM documents WHERE length(text) >= 400)
+  SELECT DISTINCT doc_id, md5(substr(text, i, 400)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM documents WHERE length(text) >= 400)
 ), s AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1)
 SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b
 FROM (SELECT * FROM g SEMI JOIN s USING (h)) a JOIN (SELECT * FROM g SEMI JOIN s USING (h)) b ON a.h = b.h AND a.doc_id < b.doc_id
