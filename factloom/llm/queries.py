@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from factloom.llm.leak import leak_report, leaked_items, remove_leaks
 from factloom.llm.lines import clean_pages, repeated_lines
+from factloom.llm.names import link_names
 from factloom.llm.packing import pack
 from factloom.llm.spans import document_pairs, document_spans, shared_coverage, shared_windows
 from factloom.llm.split import split_items
 from factloom.llm.tokens import byt5_tokens
+from factloom.llm.vocabulary import map_values
 from factloom.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +36,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return split_items(read_table(spark, d, "chunks")).select("chunk_id", "piece_start", "piece_end").distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    facts = read_table(spark, d, "facts").filter("entity_id is null").select("fact_id", "subject_raw")
+    linked = link_names(facts, "subject_raw", read_table(spark, d, "entities"))
+    return facts.join(linked, "subject_raw").select("fact_id", "entity_id").distinct()
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    facts = read_table(spark, d, "facts").filter("predicate_canonical is null").select("fact_id", "predicate")
+    mapped = map_values(facts, "predicate", read_table(spark, d, "predicate_registry"), "predicate_canonical")
+    return facts.join(mapped.select(F.col("predicate").alias("p"), "predicate_canonical"), F.col("predicate").eqNullSafe(F.col("p"))).select("fact_id", "predicate_canonical").distinct()
+
+
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "documents").select("doc_id", byt5_tokens(F.col("text")).alias("n_tokens"))
 
@@ -66,5 +80,5 @@ def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (p2_found, p2_clean, p3_found, p7_found, p7_pack, p8_found, p8_clean, p9_found, p9_coverage)
+    named = (p2_found, p2_clean, p3_found, p4_found, p5_found, p7_found, p7_pack, p8_found, p8_clean, p9_found, p9_coverage)
     return {f.__name__: f for f in named}
