@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factloom.llm.leak import leak_report, leaked_items, remove_leaks
 from factloom.llm.lines import clean_pages, repeated_lines
 from factloom.llm.names import link_names
+from factloom.llm.neighbours import greedy_search, most_similar, neighbour_graph, similar_pairs, usable_vectors
 from factloom.llm.packing import pack
 from factloom.llm.spans import document_pairs, document_spans, shared_coverage, shared_windows
 from factloom.llm.split import split_items
@@ -22,6 +23,30 @@ Query = Callable[[SparkSession, str], DataFrame]
 CAPACITY = 4096
 
 
+DIM = 64
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = [similar_pairs(read_table(spark, d, t), i, "embedding", DIM) for t, i in (("fact_embeddings", "fact_id"), ("entities", "entity_id"))]
+    return pairs[0].unionByName(pairs[1]).distinct()
+
+
+def p1_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar others of every vector, whatever their similarity."""
+    near = [most_similar(read_table(spark, d, t), i, "embedding", DIM) for t, i in (("fact_embeddings", "fact_id"), ("entities", "entity_id"))]
+    return near[0].unionByName(near[1]).select("id", "other", F.round("s", 6).alias("similarity"))
+
+
+def p1_search(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy search on the graph for one fact in a hundred (by its id's checksum) against all vectors."""
+    held = usable_vectors(read_table(spark, d, "fact_embeddings"), "fact_id", "embedding", DIM)
+    edges, vectors = neighbour_graph(held, DIM, k=8)
+    asked = held.filter(F.crc32("id") % 100 == 0).select("id", "node").distinct()
+    found = greedy_search(asked.join(vectors, "node").select(F.col("id").alias("qid"), "vec"), edges, vectors, DIM)
+    members = held.groupBy("node").agg(F.min("id").alias("other"))
+    return found.join(members, "node").select(F.col("qid").alias("id"), "other", F.round("s", 6).alias("similarity"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     r = repeated_lines(read_table(spark, d, "pages"), read_table(spark, d, "documents"))
     return r.occurrences.select("doc_id", "page_index", "line_no").distinct()
@@ -80,5 +105,5 @@ def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (p2_found, p2_clean, p3_found, p4_found, p5_found, p7_found, p7_pack, p8_found, p8_clean, p9_found, p9_coverage)
+    named = (p1_found, p1_nearest, p1_search, p2_found, p2_clean, p3_found, p4_found, p5_found, p7_found, p7_pack, p8_found, p8_clean, p9_found, p9_coverage)
     return {f.__name__: f for f in named}
