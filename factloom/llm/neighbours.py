@@ -52,6 +52,12 @@ def vectors_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(data), np.float32).reshape(len(data), -1) if data else np.zeros((0, 1), np.float32)
 
 
+def _one_byte(x: np.ndarray) -> pa.Array:
+    """The vectors scaled to one byte a number."""
+    y = x.astype(np.float32) / np.abs(x).max(1, keepdims=True) if len(x) else x
+    return pa.array([r.tobytes() for r in np.rint(y * 127).astype(np.int8)], pa.binary())
+
+
 class Hasher:
     """Bucket numbers by ``depth`` concatenated cross-polytope hashes of random rotations, cut to ``width`` directions."""
 
@@ -88,16 +94,23 @@ def _top(sim: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]
     return r[keep], c[keep]
 
 
-def _bucket_edges(nodes: list[bytes], q8: list[bytes], k: int, floor: float) -> tuple[list[bytes], list[bytes]]:
+def as_units(q8: list[bytes]) -> np.ndarray:
+    """Unit vectors of one byte a number."""
+    x = np.frombuffer(b"".join(q8), np.int8).reshape(len(q8), -1).astype(np.float32)
+    return x / (np.sqrt((x * x).sum(1, keepdims=True)) + 1e-9)
+
+
+def _bucket_edges(nodes: list[bytes], q8: list[bytes], k: int, floor: float) -> tuple[list, list, list]:
+    """Each node's ``k`` best others of the bucket: (a, b, similarity)."""
     first = {v: i for i, v in reversed(list(enumerate(nodes)))}
     keep = sorted(first.values())
     if len(keep) < 2:
-        return [], []
+        return [], [], []
     names = np.array([nodes[i] for i in keep], dtype=object)
-    x = np.frombuffer(b"".join(q8[i] for i in keep), np.int8).reshape(len(keep), -1).astype(np.float32)
-    x /= np.sqrt((x * x).sum(1, keepdims=True)) + 1e-9
-    a: list[bytes] = []
-    b: list[bytes] = []
+    x = as_units([q8[i] for i in keep])
+    a: list = []
+    b: list = []
+    out: list = []
     for s in range(0, len(x), 1024):
         sim = x[s : s + 1024] @ x.T
         sim[np.arange(len(sim)), np.arange(s, s + len(sim))] = -2
@@ -111,7 +124,49 @@ def _bucket_edges(nodes: list[bytes], q8: list[bytes], k: int, floor: float) ->
             r, c = _top(sim, k, floor)
         a += names[r + s].tolist()
         b += names[c].tolist()
-    return a, b
+        out += sim[r, c].tolist()
+    return a, b, out
+
+
+def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``at, x, new, q8, kth`` sorted by ``at``: compares the neighbours of each node with one another.
+
+    A pair is worth an edge to the side whose ``kth`` similarity it beats; pairs without a new neighbour were met before.
+    """
+    out: tuple[list, list, list] = ([], [], [])
+
+    def join(names: list[bytes], new: list[bool], q8: list[bytes], kth: list[float]) -> None:
+        u = as_units(q8)
+        sim = u @ u.T
+        fresh = np.array(new)
+        low = np.array(kth, np.float32)
+        good = (sim > low[:, None]) & (fresh[:, None] | fresh[None, :])
+        np.fill_diagonal(good, False)
+        r, c = np.nonzero(good)
+        out[0].extend([names[i] for i in r])
+        out[1].extend([names[i] for i in c])
+        out[2].extend(sim[r, c].tolist())
+
+    def flush() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.float64())], names=["a", "b", "s"])
+        for o in out:
+            o.clear()
+        return batch
+
+    at, group = None, ([], [], [], [])
+    for batch in batches:
+        for key, *row in zip(*(batch.column(c).to_pylist() for c in ("at", "x", "new", "q8", "kth"))):
+            if key != at:
+                if len(group[0]) > 1:
+                    join(*group)
+                at, group = key, ([], [], [], [])
+            for g, v in zip(group, row):
+                g.append(v)
+        if len(out[0]) > 20_000:
+            yield flush()
+    if len(group[0]) > 1:
+        join(*group)
+    yield flush()
 
 
 def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,9 +239,7 @@ def neighbour_graph(
             x = vectors_of(b.column("vec"))
             if not len(x):
                 continue
-            y = unit(x).astype(np.float32)
-            y *= (127 / np.abs(y).max(1, keepdims=True)).astype(np.float32)
-            q8 = pa.array([r.tobytes() for r in np.rint(y).astype(np.int8)], pa.binary())
+            q8 = _one_byte(x)
             node = b.column("node")
             salt = np.array([int.from_bytes(v[:6], "big") for v in node.to_pylist()], np.int64)
             for table, code in enumerate(hasher.codes(x)):
@@ -198,8 +251,8 @@ def neighbour_graph(
         at, nodes, q8 = None, [], []
 
         def flush():
-            a, b = _bucket_edges(nodes, q8, k, low)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            a, b, sim = _bucket_edges(nodes, q8, k, low)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(sim, pa.float64())], names=["a", "b", "s"])
 
         for batch in batches:
             for key, piece, node, q in zip(*(batch.column(c).to_pylist() for c in ("bucket", "piece", "node", "q8"))):
@@ -213,31 +266,35 @@ def neighbour_graph(
             yield flush()
 
     buckets = firsts.mapInArrow(spread, "bucket bigint, piece int, node binary, q8 binary").repartition("bucket", "piece").sortWithinPartitions("bucket", "piece")
-    met = buckets.mapInArrow(meet, "a binary, b binary")
-    seeds = materialise(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "seeds")
-    nodes = materialise(seeds.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    met = buckets.mapInArrow(meet, "a binary, b binary, s double").groupBy("a", "b").agg(F.max("s").alias("s"))
+    graph = materialise(_best(met, k).withColumn("new", F.lit(True)), "graph-0")
+    nodes = materialise(graph.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     vectors = materialise(firsts.join(small_or_shuffled(nodes), "node", "left_semi").dropDuplicates(["node"]), "node-vectors")
 
-    def both(pairs: DataFrame) -> DataFrame:
-        kept = pairs if floor is None else pairs.filter(F.col("s") >= floor)
-        return kept.unionByName(kept.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("node"), _one_byte(vectors_of(b.column("vec")))], names=["node", "q8"])
 
-    graph = materialise(_best(both(with_similarity(seeds, vectors)), k).withColumn("new", F.lit(True)), "graph-0")
+    small = materialise(vectors.mapInArrow(shrink, "node binary, q8 binary"), "node-bytes")
     for i in range(rounds):
-        # neighbours of one node, either way round; only pairs with an edge that is new since the last round
         out = graph.select(F.col("a").alias("at"), F.col("b").alias("x"), "s", "new")
         back = _best(graph, k, "b", "a").select(F.col("b").alias("at"), F.col("a").alias("x"), "s", "new")
         near = out.unionByName(back).groupBy("at", "x").agg(F.max("new").alias("new"))
-        left, right = near.alias("l"), near.alias("r")
-        pairs = left.join(right, "at").filter((F.col("l.x") < F.col("r.x")) & (F.col("l.new") | F.col("r.new"))).select(F.col("l.x").alias("a"), F.col("r.x").alias("b")).distinct()
-        known = graph.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = both(with_similarity(pairs.join(known, ["a", "b"], "left_anti"), vectors)).withColumn("new", F.lit(True))
-        after = _best(graph.withColumn("new", F.lit(False)).unionByName(fresh), k)
-        graph = materialise(after, f"graph-{i + 1}")
+        kth = graph.groupBy("a").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(low).alias("kth"))
+        known = small.join(kth, small["node"] == kth["a"], "left").select("node", "q8", F.coalesce("kth", F.lit(low)).alias("kth"))
+        rows = near.join(known, near["x"] == known["node"]).select("at", "x", "new", "q8", "kth")
+        met = rows.repartition("at").sortWithinPartitions("at").mapInArrow(_local_join, "a binary, b binary, s double")
+        fresh = met.groupBy("a", "b").agg(F.max("s").alias("s")).withColumn("new", F.lit(True))
+        merged = graph.withColumn("new", F.lit(False)).unionByName(fresh).groupBy("a", "b").agg(F.max("s").alias("s"), F.min("new").alias("new"))
+        graph = materialise(_best(merged, k), f"graph-{i + 1}")
         changed, total = graph.agg(F.count_if("new"), F.count("*")).first()
         if changed <= tolerance * total:
             break
-    return graph.select("a", "b", "s"), vectors
+    pairs = graph.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    exact = materialise(with_similarity(pairs, vectors), "edges")
+    if floor is not None:
+        exact = exact.filter(F.col("s") >= floor)
+    return _best(exact.unionByName(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")), k), vectors
 
 
 def most_similar(

@@ -33,7 +33,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_nearest(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar others of every vector, whatever their similarity."""
-    near = [most_similar(read_table(spark, d, t), i, "embedding", DIM) for t, i in (("fact_embeddings", "fact_id"), ("entities", "entity_id"))]
+    near = [most_similar(read_table(spark, d, t), i, "embedding", DIM, graph_k=14) for t, i in (("fact_embeddings", "fact_id"), ("entities", "entity_id"))]
     return near[0].unionByName(near[1]).select("id", "other", F.round("s", 6).alias("similarity"))
 
 
