@@ -46,26 +46,34 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(scores)
 
 
-def partial_ratio(needle: str, hay: str) -> tuple[float, int, int]:
-    """(score, start, end) of the window of ``hay`` most like ``needle``; windows at the ends may be shorter."""
+def partial_ratio(needle: str, hay: str, around: int = 3) -> tuple[float, int, int]:
+    """(score, start, end) of the window of ``hay`` most like ``needle``; windows at the ends may be shorter.
+
+    Windows are tried where the two share runs of three letters: on the diagonals with at least a third of the most such
+    runs, and up to ``around`` beside them. Texts without any common run are compared at every start.
+    """
     n, m = len(needle), len(hay)
     if not n or not m:
         return (100.0 if n == m else 0.0), 0, 0
     if n > m:
-        score, s, e = partial_ratio(hay, needle)
-        return score, 0, m
-    letters = set(needle)
+        return partial_ratio(hay, needle, around)[0], 0, m
+    where: dict[str, list[int]] = {}
+    for i in range(n - 2):
+        where.setdefault(needle[i : i + 3], []).append(i)
+    votes: dict[int, int] = {}
+    for j in range(m - 2):
+        for i in where.get(hay[j : j + 3], ()):
+            votes[j - i] = votes.get(j - i, 0) + 1
+    if votes:
+        most = max(votes.values())
+        starts = sorted({d + k for d, v in votes.items() if 3 * v >= most for k in range(-around, around + 1)}) if most > 1 else sorted(votes)
+    else:
+        starts = list(range(m - n + 1))
     best = (0.0, 0, min(n, m))
-    for start in range(1 - n, m):
+    for start in starts:
         s, e = max(0, start), min(m, start + n)
-        # a window only beats its neighbours if it starts or ends with a letter of the needle
-        if hay[e - 1] not in letters and s:
-            continue
-        score = ratio(needle, hay[s:e])
-        if score > best[0]:
+        if s < e and (score := ratio(needle, hay[s:e])) > best[0]:
             best = (score, s, e)
-            if score == 100.0:
-                break
     return best
 
 

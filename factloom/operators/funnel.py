@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.session import materialise
+
 TILE = 1000
 
 
@@ -122,6 +124,7 @@ def generate_candidates(
     pairs = met.groupBy("fact_a", "fact_b").agg(F.max("similarity").alias("similarity"))
     if existing is not None:
         pairs = pairs.join(existing.select("fact_a", "fact_b"), ["fact_a", "fact_b"], "left_anti")
+    pairs = materialise(pairs, "near-pairs")  # ranked twice
 
     def best(side: str, other: str) -> DataFrame:
         w = Window.partitionBy(side).orderBy(F.desc("similarity"), other)

@@ -46,6 +46,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 # Pairs of facts --------------------------------------------------------------------------------------------------------
 
+#: The cosine from which pairs are candidates here: the test vectors of one block are seldom more alike.
+LEAST_COSINE = 0.2
+
 
 def _scoped(spark: SparkSession, d: str) -> DataFrame:
     return funnel.scoped_facts(*_t(spark, d, "facts", "evidence", "documents", "fact_embeddings"))
@@ -58,14 +61,14 @@ def count_blocked_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def funnel_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return funnel.generate_candidates(_scoped(spark, d)).withColumn("similarity", F.round("similarity", 6))
+    return funnel.generate_candidates(_scoped(spark, d), threshold=LEAST_COSINE).withColumn("similarity", F.round("similarity", 6))
 
 
 @query
 def incremental_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Only pairs that touch a document of the newest parser version."""
     new = read_table(spark, d, "documents").filter("parser_version = 'parse-2'").select("doc_id")
-    return funnel.generate_candidates(_scoped(spark, d), new_docs=new).withColumn("similarity", F.round("similarity", 6))
+    return funnel.generate_candidates(_scoped(spark, d), threshold=LEAST_COSINE, new_docs=new).withColumn("similarity", F.round("similarity", 6))
 
 
 @query
@@ -73,14 +76,14 @@ def unlinked_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of one predicate count as linked already."""
     s = _scoped(spark, d)
     p = s.select("fact_id", "predicate_canonical")
-    made = funnel.generate_candidates(s).select("fact_a", "fact_b")
-    linked = made.join(p.toDF("fact_a", "pa"), "fact_a").join(p.toDF("fact_b", "pb"), "fact_b").filter("pa = pb").select("fact_a", "fact_b")
-    return made.join(linked, ["fact_a", "fact_b"], "left_anti")
+    linked = funnel.generate_candidates(s, threshold=LEAST_COSINE).join(p.toDF("fact_a", "pa"), "fact_a").join(p.toDF("fact_b", "pb"), "fact_b").filter("pa = pb")
+    rest = funnel.generate_candidates(s, threshold=LEAST_COSINE, existing=linked.select("fact_a", "fact_b"))
+    return rest.withColumn("similarity", F.round("similarity", 6))
 
 
 def _decided(spark: SparkSession, d: str) -> DataFrame:
     facts, documents = _t(spark, d, "facts", "documents")
-    pairs = materialise(funnel.generate_candidates(_scoped(spark, d)), "candidates")
+    pairs = materialise(funnel.generate_candidates(_scoped(spark, d), threshold=LEAST_COSINE), "candidates")
     return rules.evaluate_pairs(rules.pair_facts(pairs, funnel.latest_facts(facts), documents))
 
 
@@ -116,7 +119,7 @@ def link_cases(spark: SparkSession, d: str) -> DataFrame:
 @query
 def residue_budget(spark: SparkSession, d: str) -> DataFrame:
     s = _scoped(spark, d).select(F.col("fact_id").alias("fact_a"), "doc_id")
-    return funnel.residue_budget(funnel.generate_candidates(_scoped(spark, d)).join(s, "fact_a"), 2).select("fact_a", "fact_b", "doc_id", "deferred")
+    return funnel.residue_budget(funnel.generate_candidates(_scoped(spark, d), threshold=LEAST_COSINE).join(s, "fact_a"), 2).select("fact_a", "fact_b", "doc_id", "deferred")
 
 
 @query

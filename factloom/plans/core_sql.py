@@ -1,7 +1,220 @@
-"""DuckDB SQL for the core's queries."""
+"""DuckDB SQL for the core's queries that SQL can express."""
 
 from __future__ import annotations
 
+LATEST = "lf AS (SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY created_at DESC NULLS LAST, confidence DESC NULLS LAST) = 1)"
+FOLD = "lower(strip_accents({x}))"
+CLEAN = r"trim(regexp_replace(translate(coalesce({x}, ''), '‘’‐‑‒–—―−' || chr(160) || chr(8199) || chr(8239), '''''-------   '), '\s+', ' ', 'g'))"
+
+
+def clean(x: str) -> str:
+    return CLEAN.format(x=x)
+
+
+SCOPED = f"""{LATEST}, scoped AS (
+  SELECT f.fact_id, f.doc_id, f.chunk_id, f.entity_id, f.predicate_canonical, f.value_type, f.unit_dimension, d.collection, CAST(v.embedding AS DOUBLE[]) AS e
+  FROM lf f JOIN evidence ev ON ev.evidence_id = f.evidence_id AND ev.verified JOIN documents d ON d.doc_id = f.doc_id
+  JOIN (SELECT DISTINCT ON (fact_id) fact_id, embedding FROM fact_embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0) v ON v.fact_id = f.fact_id
+)"""
+BLOCK = """a.fact_id < b.fact_id AND a.chunk_id <> b.chunk_id AND a.value_type = b.value_type AND a.collection = b.collection
+  AND (a.unit_dimension IS NOT DISTINCT FROM b.unit_dimension OR a.unit_dimension IS NULL OR b.unit_dimension IS NULL)
+  AND (a.entity_id = b.entity_id OR a.predicate_canonical = b.predicate_canonical)"""
+
+
+def candidates(extra: str = "", tail: str = "") -> str:
+    return f"""WITH {SCOPED}, pairs AS (
+  SELECT a.fact_id AS fact_a, b.fact_id AS fact_b, a.predicate_canonical AS pa, b.predicate_canonical AS pb, a.doc_id AS doc_id, list_cosine_similarity(a.e, b.e) AS s
+  FROM scoped a JOIN scoped b ON {BLOCK} {extra}
+), near AS (SELECT * FROM pairs WHERE s >= 0.2 {tail}),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY fact_a ORDER BY s DESC, fact_b) AS ra, row_number() OVER (PARTITION BY fact_b ORDER BY s DESC, fact_a) AS rb FROM near
+), best AS (SELECT * FROM ranked WHERE ra <= 12 OR rb <= 12)"""
+
+
+VIEW = f"""WITH {LATEST}, v AS (
+  SELECT f.*, d.collection, d.title AS document_title, d.as_of_date, ev.quote, ev.verified, ev.match_score, ev.match_method, ev.char_start AS evidence_char_start
+  FROM lf f JOIN documents d ON d.doc_id = f.doc_id LEFT JOIN evidence ev ON ev.evidence_id = f.evidence_id
+)"""
+FILTERED = """FROM v WHERE verified AND lower(coalesce(period_label_raw, '')) LIKE '%fy%' AND (lower(coalesce(subject_raw, '')) LIKE '%freight%'
+  OR lower(coalesce(predicate_canonical, '')) LIKE '%freight%' OR lower(coalesce(value_raw, '')) LIKE '%freight%' OR lower(coalesce(quote, '')) LIKE '%freight%')"""
+LISTING = f"""WITH {LATEST} SELECT d.doc_id, d.collection, d.filename, d.status, d.n_pages,
+  (SELECT count(DISTINCT chunk_id) FROM chunks c WHERE c.doc_id = d.doc_id) AS n_chunks,
+  (SELECT count(*) FROM lf f WHERE f.doc_id = d.doc_id) AS n_facts,
+  (SELECT count(*) FROM lf f JOIN evidence ev ON ev.evidence_id = f.evidence_id WHERE f.doc_id = d.doc_id AND ev.verified) AS n_verified
+FROM documents d"""
+SNAKE = r"regexp_replace(regexp_replace(lower(strip_accents({x})), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
+
+
+def predicate(x: str) -> str:
+    return rf"regexp_replace(regexp_replace({SNAKE.format(x=clean(x))}, '^(the|a|an)_', ''), '_(of|for|in|at|on|the)$', '')"
+
+
+def subject(x: str) -> str:
+    from factloom.functions.tables import LEGAL_SUFFIXES
+
+    t = f"lower(strip_accents({clean(x)}))"
+    t = f"regexp_replace({t}, '[\"''`]', '', 'g')"
+    t = rf"regexp_replace({t}, '\([^)]*\)', ' ', 'g')"
+    t = f"regexp_replace({t}, '[^a-z0-9&/ .-]+', ' ', 'g')"
+    for form in LEGAL_SUFFIXES:
+        escaped = form.replace(".", r"\.")
+        t = rf"regexp_replace({t}, '(?:,|\s)\s*{escaped}\.?\s*$', ' ')"
+    t = rf"regexp_replace(regexp_replace({t}, '^the\s+', ''), '[.\-]+$', ' ')"
+    return rf"trim(regexp_replace({t}, '\s+', ' ', 'g'))"
+
+
+def kept(table: str, key: str) -> str:
+    return f"SELECT '{table}' AS metric, count(*) AS n FROM {key}"
+
+
+PERIOD = r"""
+SELECT a.relation, count(*) AS n FROM (
+  SELECT CASE WHEN (s1 <= s2 AND e2 <= e1) OR (s2 <= s1 AND e1 <= e2) THEN 'nested' WHEN s1 <= e2 AND s2 <= e1 THEN 'overlapping' ELSE 'disjoint' END AS relation
+  FROM (SELECT a.period_start AS s1, a.period_end AS e1, b.period_start AS s2, b.period_end AS e2
+        FROM (SELECT DISTINCT entity_id, predicate_canonical, period_start, period_end FROM lf WHERE entity_id IS NOT NULL AND predicate_canonical IS NOT NULL AND period_start IS NOT NULL) a
+        JOIN (SELECT DISTINCT entity_id, predicate_canonical, period_start, period_end FROM lf WHERE entity_id IS NOT NULL AND predicate_canonical IS NOT NULL AND period_start IS NOT NULL) b
+          USING (entity_id, predicate_canonical)
+        WHERE a.period_start < b.period_start OR (a.period_start = b.period_start AND a.period_end < b.period_end))
+) a GROUP BY 1
+"""
+
+# Quantities: alias, name, dimension, factor as rows, the fields read in order ------------------------------------------------
+
+
+def _quantities() -> str:
+    from factloom.functions.tables import CURRENCY_ALIASES, MAGNITUDES, UNITS
+
+    def word(a: str) -> str:
+        body = "".join("\\" + c if c in r"\.^$|?*+()[]{}" else c for c in a)
+        return ("(^|[^a-z_])" if a[0].isalpha() else "") + body + ("($|[^a-z_])" if a[-1].isalpha() else "")
+
+    lit = lambda s: "'" + s.replace("'", "''") + "'"
+    units = ", ".join(f"({lit(word(a))}, {len(a)}, {lit(n)}, {lit(d)}, {f!r})" for al, n, d, f in UNITS for a in {*al, n} if a not in ("m", "x"))
+    scales = ", ".join(f"({lit(word(a))}, {len(a)}, {f!r})" for a, f in MAGNITUDES.items() if a not in ("m", "b", "k"))
+    money = ", ".join(f"({lit(word(a))}, {len(a)}, {lit(c)})" for a, c in CURRENCY_ALIASES.items())
+    fields = "unnest(['value_raw', 'unit_raw', 'magnitude_label', 'unit_canonical', 'currency']) AS field, unnest([1, 2, 3, 4, 5]) AS pos, unnest([value_raw, unit_raw, magnitude_label, unit_canonical, currency]) AS raw"
+    return rf"""
+u(p, n, unit, dimension, factor) AS (VALUES {units}, ('^m$', 1, 'm', 'length', 1.0)),
+s(p, n, factor) AS (VALUES {scales}),
+c(p, n, code) AS (VALUES {money}),
+f AS (SELECT DISTINCT fact_id, map_extract_value(qualifiers, 'measure') AS measure, value_raw, unit_raw, magnitude_label, unit_canonical, currency FROM facts WHERE value_type = 'numeric'),
+cell AS (SELECT * EXCLUDE (raw), trim(regexp_replace(lower(raw), '\s+', ' ', 'g')) AS t FROM (SELECT f.*, {fields} FROM f) WHERE raw IS NOT NULL),
+text AS (SELECT DISTINCT field, pos, t FROM cell),
+tu AS (SELECT text.pos, text.t, arg_max(unit, u.n) AS unit, arg_max(dimension, u.n) AS dimension, arg_max(factor, u.n) AS factor FROM text JOIN u ON regexp_matches(text.t, u.p) GROUP BY 1, 2),
+ts AS (SELECT text.pos, text.t, arg_max(factor, s.n) AS factor FROM text JOIN s ON regexp_matches(text.t, s.p) WHERE text.pos <= 3 GROUP BY 1, 2),
+tc AS (SELECT text.pos, text.t, arg_max(code, c.n) AS code FROM text JOIN c ON regexp_matches(text.t, c.p) GROUP BY 1, 2),
+q AS (
+  SELECT fact_id, measure, value_raw, unit_raw, magnitude_label, unit_canonical, currency, arg_min(tu.unit, cell.pos) FILTER (tu.unit IS NOT NULL) AS unit, arg_min(tu.dimension, cell.pos) FILTER (tu.unit IS NOT NULL) AS dimension,
+         arg_min(tu.factor, cell.pos) FILTER (tu.unit IS NOT NULL) AS uf, arg_min(ts.factor, cell.pos) FILTER (ts.factor IS NOT NULL) AS sf, arg_min(tc.code, cell.pos) FILTER (tc.code IS NOT NULL) AS code
+  FROM cell LEFT JOIN tu USING (pos, t) LEFT JOIN ts USING (pos, t) LEFT JOIN tc USING (pos, t) GROUP BY ALL
+),
+num AS (
+  SELECT *, CASE WHEN regexp_matches(value_raw, '^[^0-9(]*\(\s*[-+]?[0-9.,]+\s*\)') AND v > 0 THEN -v ELSE v END AS x
+  FROM (SELECT *, TRY_CAST(replace(regexp_extract(value_raw, '[-+]?[0-9][0-9,]*(\.[0-9]+)?'), ',', '') AS DOUBLE) AS v FROM q)
+),
+qty AS (
+  SELECT fact_id, measure, CASE WHEN code IS NOT NULL AND coalesce(dimension, '') <> 'ratio' THEN 'currency' ELSE dimension END AS dimension,
+         x * CASE WHEN dimension = 'ratio' THEN uf WHEN code IS NOT NULL THEN coalesce(sf, 1) ELSE coalesce(uf, 1) * coalesce(sf, 1) END AS quantity
+  FROM num
+)"""
+
+
+P6_FOUND = (
+    "WITH "
+    + _quantities()
+    + """
+SELECT DISTINCT a.fact_id AS fact_a, b.fact_id AS fact_b FROM qty a JOIN qty b ON a.measure = b.measure AND a.fact_id < b.fact_id
+WHERE abs(a.quantity - b.quantity) <= greatest(abs(a.quantity), abs(b.quantity)) * 0.005
+"""
+)
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    q: dict[str, str] = {"p6_found": P6_FOUND}
+    q["count_blocked_pairs"] = f"WITH {SCOPED} SELECT count(*) AS n_pairs FROM scoped a JOIN scoped b ON {BLOCK}"
+    q["funnel_candidates"] = candidates() + " SELECT fact_a, fact_b, round(s, 6) AS similarity FROM best"
+    new = "AND (a.doc_id IN (SELECT doc_id FROM documents WHERE parser_version = 'parse-2') OR b.doc_id IN (SELECT doc_id FROM documents WHERE parser_version = 'parse-2'))"
+    q["incremental_candidates"] = candidates(new) + " SELECT fact_a, fact_b, round(s, 6) AS similarity FROM best"
+    q["unlinked_candidates"] = (
+        candidates()
+        + """, open AS (SELECT * FROM near n WHERE NOT EXISTS (SELECT 1 FROM best l WHERE l.fact_a = n.fact_a AND l.fact_b = n.fact_b AND l.pa = l.pb)),
+again AS (SELECT *, row_number() OVER (PARTITION BY fact_a ORDER BY s DESC, fact_b) AS r1, row_number() OVER (PARTITION BY fact_b ORDER BY s DESC, fact_a) AS r2 FROM open)
+SELECT fact_a, fact_b, round(s, 6) AS similarity FROM again WHERE r1 <= 12 OR r2 <= 12"""
+    )
+    q["residue_budget"] = candidates() + " SELECT fact_a, fact_b, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, fact_a, fact_b) > 2 AS deferred FROM best"
+    q["period_relation"] = f"WITH {LATEST} {PERIOD}"
+    q["search_facts"] = f"{VIEW} SELECT fact_id, doc_id, subject_raw, value_raw, confidence {FILTERED} ORDER BY confidence DESC NULLS LAST, fact_id LIMIT 100 OFFSET 20"
+    q["search_facts_count"] = f"{VIEW} SELECT count(*) AS n {FILTERED}"
+    q["active_facts"] = f"{VIEW} SELECT fact_id, evidence_id, match_score, evidence_char_start FROM v WHERE verified"
+    q["quarantine"] = f"{VIEW} SELECT fact_id, evidence_id, match_method FROM v WHERE NOT verified"
+    q["quarantined_facts"] = f"{VIEW} SELECT fact_id, match_score FROM v WHERE NOT verified ORDER BY match_score DESC NULLS LAST, fact_id LIMIT 200"
+    q["facts_by_ids"] = f"{VIEW} SELECT fact_id, predicate_canonical, document_title, as_of_date FROM v WHERE fact_id IN (SELECT example_fact_id FROM predicate_registry)"
+    q["get_document"] = "SELECT doc_id, filename, collection, n_pages FROM documents WHERE doc_id = 1002"
+    q["list_documents"] = LISTING
+    q["failure_modes"] = f"""{VIEW} SELECT CASE WHEN contains(quote, chr(10)) THEN 'multi_line_stitch' WHEN contains(quote, '|') THEN 'table_row' WHEN length(quote) < 40 THEN 'very_short_quote' ELSE 'other' END AS mode,
+  count(*) AS n FROM v WHERE NOT verified GROUP BY 1"""
+    q["stats_totals"] = " UNION ALL ".join(kept(t, t) for t in ("documents", "pages", "chunks", "facts", "evidence", "entities", "predicate_registry"))
+    q["verification_rate"] = f"""WITH {LATEST} SELECT count(*) AS n_facts, count(*) FILTER (ev.verified) AS n_verified, count(*) - count(*) FILTER (ev.verified) AS n_quarantined,
+  coalesce(round(count(*) FILTER (ev.verified) / nullif(count(*), 0), 4), 0) AS verification_rate FROM lf f LEFT JOIN evidence ev ON ev.evidence_id = f.evidence_id"""
+    q["daily_growth"] = f"WITH {LATEST} SELECT CAST(created_at AS DATE) AS day, count(*) AS n FROM lf GROUP BY 1"
+    q["stage_rollup"] = "SELECT event_type AS stage, round(sum(value), 2) AS seconds, count(*) AS n_runs, CAST(coalesce(sum(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)), 0) AS BIGINT) AS noted FROM events GROUP BY 1"
+    q["collections"] = "SELECT DISTINCT collection FROM documents WHERE collection IS NOT NULL"
+    q["collection_rollup"] = f"""SELECT collection, count(*) AS n_documents, CAST(sum(n_pages) AS BIGINT) AS n_pages, CAST(sum(n_chunks) AS BIGINT) AS n_chunks, CAST(sum(n_facts) AS BIGINT) AS n_facts,
+  CAST(sum(n_verified) AS BIGINT) AS n_verified FROM ({LISTING}) GROUP BY 1"""
+    first = "arg_min({c}, {{'c': created_at, 'f': fact_id}})"
+    c = lambda name: first.format(c=f"{{'v': {name}}}") + "['v']"
+    q["register_facts"] = f"""WITH {LATEST}, g AS (
+  SELECT predicate_canonical, {c('value_type')} AS expected_value_type, {c('unit_dimension')} AS expected_unit_dimension, {c('fact_id')} AS example_fact_id,
+    {c('doc_id')} AS first_seen_doc_id, {c('subject_raw')} AS sr, {c('value_raw')} AS vr, count(*) AS n_facts FROM lf WHERE predicate_canonical IS NOT NULL GROUP BY 1)
+SELECT predicate_canonical, substr(concat_ws(' ', 'First seen as', sr, vr), 1, 300) AS description, expected_value_type, expected_unit_dimension, example_fact_id, first_seen_doc_id, n_facts FROM g"""
+    q["recount_predicates"] = f"WITH {LATEST} SELECT predicate_canonical, coalesce((SELECT count(*) FROM lf f WHERE f.predicate_canonical = r.predicate_canonical), 0) AS n_facts FROM predicate_registry r"
+    q["bump_predicates"] = f"""WITH inc AS (SELECT {predicate('predicate')} AS predicate_canonical, count(*) AS k FROM facts WHERE predicate IS NOT NULL GROUP BY 1)
+SELECT predicate_canonical, CAST(coalesce(n_facts, 0) + coalesce(k, 0) AS BIGINT) AS n_facts FROM predicate_registry FULL JOIN inc USING (predicate_canonical)"""
+    q["top_predicates"] = "SELECT predicate_canonical, n_facts FROM predicate_registry ORDER BY n_facts DESC, predicate_canonical LIMIT 40"
+    q["vocabulary_hint"] = """SELECT string_agg('- ' || predicate_canonical || coalesce(' (' || expected_unit_dimension || ')', ''), chr(10) ORDER BY n_facts DESC, predicate_canonical) AS hint
+FROM (SELECT * FROM predicate_registry ORDER BY n_facts DESC, predicate_canonical LIMIT 40)"""
+    q["upsert_facts"] = """WITH f AS (SELECT fact_id, value_raw, confidence, created_at, extractor_version FROM facts),
+n AS (SELECT * FROM f WHERE extractor_version = 'extract-3' QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY created_at DESC, confidence DESC) = 1)
+SELECT * FROM n UNION ALL SELECT * FROM f WHERE fact_id NOT IN (SELECT fact_id FROM n) QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY created_at DESC, confidence DESC) = 1"""
+    q["replace_chunks"] = """WITH r AS (SELECT DISTINCT chunk_id, doc_id, text FROM chunks), d AS (SELECT doc_id FROM documents WHERE n_pages > 1)
+SELECT chunk_id, doc_id FROM r WHERE doc_id NOT IN (SELECT doc_id FROM d) OR length(text) > 500"""
+    q["cascade_delete"] = f"""WITH {LATEST}, d AS (SELECT doc_id FROM documents WHERE doc_type = 'survey'), gone AS (SELECT fact_id FROM facts SEMI JOIN d USING (doc_id)),
+l AS (SELECT min(fact_id) AS a, max(fact_id) AS b FROM lf GROUP BY predicate_canonical)
+SELECT 'links' AS metric, count(*) AS n FROM l WHERE a NOT IN (SELECT fact_id FROM gone) AND b NOT IN (SELECT fact_id FROM gone)
+UNION ALL SELECT 'embeddings', count(*) FROM fact_embeddings WHERE fact_id NOT IN (SELECT fact_id FROM gone)
+UNION ALL SELECT 'evidence', count(*) FROM evidence WHERE fact_id NOT IN (SELECT fact_id FROM gone)
+UNION ALL SELECT 'facts', count(*) FROM facts WHERE doc_id NOT IN (SELECT doc_id FROM d)"""
+    q["update_documents"] = "SELECT doc_id, coalesce(title, substr(string_split(text, chr(10))[1], 1, 60)) AS title, status FROM documents"
+    q["cache_misses"] = """SELECT DISTINCT canonical_string FROM (SELECT coalesce(subject_canonical, '') || ' | ' || coalesce(predicate_canonical, '') || ' | ' || coalesce(period_label_raw, '') || ' | ' ||
+  coalesce(array_to_string(list_sort(scope_tags), ','), '') AS canonical_string FROM facts) WHERE canonical_string NOT IN (SELECT canonical_string FROM fact_embeddings WHERE canonical_string IS NOT NULL)"""
+    q["page_offsets"] = """SELECT doc_id, page_index, CAST(coalesce(sum(n + 2) OVER w, 0) AS BIGINT) AS char_start, CAST(coalesce(sum(n + 2) OVER w, 0) + n AS BIGINT) AS char_end
+FROM (SELECT DISTINCT ON (doc_id, page_index) doc_id, page_index, length(coalesce(text, '')) AS n FROM pages) WINDOW w AS (PARTITION BY doc_id ORDER BY page_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+    q["resolve_pages"] = """SELECT e.evidence_id, min(p.page_index) AS page_index FROM evidence e LEFT JOIN (SELECT DISTINCT doc_id, page_index, char_start, char_start + length(text) AS char_end FROM pages) p
+  ON p.doc_id = e.doc_id AND e.char_start BETWEEN p.char_start AND p.char_end WHERE e.char_start IS NOT NULL GROUP BY 1"""
+    q["chunk_ids"] = r"SELECT DISTINCT chunk_id, doc_id, substr(sha256(doc_id || chr(0) || lower(trim(regexp_replace(text, '\s+', ' ', 'g')))), 1, 32) AS made FROM chunks"
+    q["boilerplate_chunks"] = r"""WITH c AS (SELECT DISTINCT chunk_id, lower(kind) AS kind, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM chunks),
+m AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '') AS ls, length(regexp_replace(t, '[^\p{L}]', '', 'g')) / greatest(length(t), 1) AS alpha, length(regexp_replace(t, '[^\p{Nd}]', '', 'g')) / greatest(length(t), 1) AS digit FROM c)
+SELECT DISTINCT chunk_id, CASE WHEN length(t) < 120 THEN 'too_short'
+  WHEN len(list_filter(ls, lambda x: regexp_matches(x, '\.{4,}|\s\.\s\.\s\.'))) / greatest(len(ls), 1) > 0.3 THEN 'table_of_contents'
+  WHEN alpha < 0.35 AND NOT coalesce(kind = 'table', false) THEN 'low_alpha_ratio'
+  WHEN regexp_matches(lower(t), 'safe harbour|safe harbor|disclaimer|forward-looking statement|forward looking statement|no representation or warranty|table of contents|this page has been intentionally left blank|all rights reserved') AND digit < 0.01 THEN 'boilerplate_notice' END AS reason FROM m"""
+    q["slide_decks"] = "SELECT doc_id, median(length(coalesce(text, ''))) <= 1800 AS is_slides FROM (SELECT DISTINCT doc_id, page_index, text FROM pages) GROUP BY 1"
+    q["sparse_pages"] = """SELECT DISTINCT doc_id, page_index, CASE WHEN n = 0 THEN 'image_only_page' ELSE 'empty_page' END AS warning
+FROM (SELECT doc_id, page_index, length(trim(coalesce(text_plain, text, ''))) AS n FROM pages) WHERE n < 300"""
+    q["canonical_texts"] = r"""WITH p AS (SELECT DISTINCT doc_id, page_index, text, text_plain, length(regexp_replace(coalesce(text_plain, ''), '[^\p{L}\p{N}]', '', 'g')) AS b,
+  length(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]', '', 'g')) AS a FROM pages), k AS (SELECT *, text IS NOT NULL AND CASE WHEN b = 0 THEN true ELSE a / b >= 0.95 END AS keep FROM p)
+SELECT DISTINCT doc_id, page_index, length(CASE WHEN keep THEN text ELSE coalesce(text_plain, '') END) AS n, CASE WHEN keep THEN 'markdown' ELSE 'plain+tables' END AS source FROM k"""
+    q["verify_exact"] = """SELECT DISTINCT evidence_id, CAST(instr(text, trim(quote)) - 1 AS BIGINT) AS char_start, CAST(instr(text, trim(quote)) - 1 + length(trim(quote)) AS BIGINT) AS char_end
+FROM evidence JOIN documents USING (doc_id) WHERE length(trim(quote)) >= 8 AND contains(text, trim(quote))"""
+    q["canonical_subjects"] = f"SELECT DISTINCT subject_raw, {subject('subject_raw')} AS canonical FROM facts"
+    q["canonical_predicates"] = f"SELECT DISTINCT predicate, {predicate('predicate')} AS canonical FROM facts"
+    q["currencies"] = r"""SELECT DISTINCT value_raw, unit_raw, CASE
+  WHEN regexp_matches(b, '₹|\brs\.?(\b|$)|\brs\.|\binr\b|\brupees?\b') THEN 'INR' WHEN regexp_matches(b, '\bus\s*\$|\busd\b|\bus\s*dollars?\b|\$') THEN 'USD' WHEN regexp_matches(b, '€|\beur\b') THEN 'EUR'
+  WHEN regexp_matches(b, '£|\bgbp\b') THEN 'GBP' WHEN regexp_matches(b, '¥|\bjpy\b') THEN 'JPY' END AS currency
+FROM (SELECT value_raw, unit_raw, lower(coalesce(value_raw, '') || ' ' || coalesce(unit_raw, '')) AS b FROM facts)"""
+    q["exact_entities"] = f"""WITH e AS (SELECT DISTINCT ON (entity_id) * FROM entities),
+n AS (SELECT {subject('canonical_name')} AS name, min(entity_id) AS entity_id FROM e GROUP BY 1), a AS (SELECT {subject('x')} AS name, min(entity_id) AS entity_id FROM (SELECT entity_id, unnest(aliases) AS x FROM e) GROUP BY 1),
+s AS (SELECT DISTINCT {subject('subject_raw')} AS name FROM facts)
+SELECT name, entity_id, 'exact' AS method FROM s JOIN n USING (name) WHERE name <> '' UNION ALL SELECT name, entity_id, 'alias' FROM s JOIN a USING (name) WHERE name <> '' AND name NOT IN (SELECT name FROM n)"""
+    return q
