@@ -314,7 +314,7 @@ def most_similar(
     others = edges.join(few.select(F.col("node").alias("b"), F.col("id").alias("other")), "b").select(F.col("a").alias("node"), "other", "s")
     lists = _best(own.unionByName(others), k + 1, "node", "other")
     lists = materialise(lists.groupBy("node").agg(F.collect_list(F.struct("other", "s")).alias("near")).filter(F.size("near") > 1), "lists")
-    flat = members.join(small_or_shuffled(lists), "node").select("id", F.explode("near").alias("x")).select("id", "x.other", "x.s").filter("id <> other")
+    flat = members.join(small_or_shuffled(lists, limit=20_000), "node").select("id", F.explode("near").alias("x")).select("id", "x.other", "x.s").filter("id <> other")
     return _best(flat, k, "id", "other")
 
 

@@ -2,6 +2,20 @@
 
 from __future__ import annotations
 
+P1_FOUND = " UNION ".join(
+    f"""
+SELECT least(a, b) AS id_a, greatest(a, b) AS id_b FROM (
+  SELECT x.id AS a, y.id AS b, round(list_cosine_similarity(x.e, y.e), 9) AS s FROM
+    (SELECT DISTINCT {i} AS id, CAST(embedding AS DOUBLE[]) AS e FROM {t}
+     WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda z: isnan(z))) = 0 AND len(list_filter(embedding, lambda z: z <> 0)) > 0) x,
+    (SELECT DISTINCT {i} AS id, CAST(embedding AS DOUBLE[]) AS e FROM {t}
+     WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda z: isnan(z))) = 0 AND len(list_filter(embedding, lambda z: z <> 0)) > 0) y
+  WHERE x.id <> y.id AND list_cosine_similarity(x.e, y.e) >= 0.9
+  QUALIFY row_number() OVER (PARTITION BY x.id ORDER BY s DESC, y.id) <= 5
+)"""
+    for t, i in (("fact_embeddings", "fact_id"), ("entities", "entity_id"))
+)
+
 P2_FOUND = r"""
 WITH line AS (
   SELECT DISTINCT p.doc_id, p.page_index, d.collection, CAST(l.i - 1 AS INTEGER) AS line_no,
@@ -63,4 +77,4 @@ FROM (SELECT * FROM g SEMI JOIN s USING (h)) a JOIN (SELECT * FROM g SEMI JOIN s
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND, "p3_found": P3_FOUND, "p7_found": P7_FOUND, "p8_found": P8_FOUND, "p9_found": P9_FOUND}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p7_found": P7_FOUND, "p8_found": P8_FOUND, "p9_found": P9_FOUND}
