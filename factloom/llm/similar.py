@@ -34,7 +34,7 @@ def banded_distance(a: str, b: str, k: int) -> int:
         row = [far] * (m + 1)
         if i <= k:
             row[0] = i
-        low = far
+        low = row[0]
         for j in range(max(1, i - k), min(m, i + k) + 1):
             d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (a[i - 1] != b[j - 1]))
             if before and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
