@@ -169,12 +169,17 @@ def relative_delta(a: Column, b: Column) -> Column:
     return F.when(top == 0, F.lit(0.0)).otherwise(F.abs(a - b) / top)
 
 
-def relative_tolerance(raw_a: Column, raw_b: Column, a: Column, b: Column, floor: float = 0.005) -> Column:
-    """The looser of the floor and half a unit in the last digit that either side writes."""
+def precision(raw: Column | str) -> Column:
+    """struct<place, written>: the last digit's place and the number as written, without its scale."""
+    return F.struct(digit_place(raw).alias("place"), parse_number(raw)["value"].alias("written"))
+
+
+def tolerance(pa: Column, pb: Column, a: Column, b: Column, floor: float = 0.005) -> Column:
+    """The looser of the floor and half a unit in the last digit that either side writes (``precision``)."""
     top = F.greatest(F.abs(a), F.abs(b), F.lit(1e-12))
+    side = lambda p, v: F.when((v != 0) & (p["written"] != 0), p["place"] * F.abs(v) / F.abs(p["written"]) / 2 / top)
+    return F.greatest(F.lit(floor), side(pa, a), side(pb, b))
 
-    def side(raw: Column, v: Column) -> Column:
-        written = parse_number(raw)["value"]
-        return F.when((v != 0) & (written != 0), digit_place(raw) * F.abs(v) / F.abs(written) / 2 / top)
 
-    return F.greatest(F.lit(floor), side(raw_a, a), side(raw_b, b))
+def relative_tolerance(raw_a: Column, raw_b: Column, a: Column, b: Column, floor: float = 0.005) -> Column:
+    return tolerance(precision(raw_a), precision(raw_b), a, b, floor)

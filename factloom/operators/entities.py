@@ -17,6 +17,7 @@ from factloom.functions.fuzzy import ratio, token_set
 from factloom.functions.subject import canonical_subject, guess_entity_type, normalize_address
 from factloom.functions.text import entity_key
 from factloom.operators.funnel import cosine
+from factloom.session import materialise
 
 NAMES = 20_000
 _VAGUE = frozenset({"unknown", "concept", "person_or_organisation"})
@@ -70,8 +71,10 @@ def resolve_subjects(
     vec = F.first(vector_col) if vector_col else F.lit(None).cast("array<float>")
     rows = subjects.filter(F.col(subject_col).isNotNull()).groupBy(F.col(subject_col).alias("raw")).agg(vec.alias("vec"))
     rows = rows.withColumn("name", canonical_subject("raw")).filter("name <> ''")
+    rows = materialise(rows, "subjects")
     distinct = rows.groupBy("name").agg(F.min("raw").alias("raw"), F.first("vec", ignorenulls=True).alias("vec")).withColumn("guess", guess_entity_type("raw"))
-    by_name, by_alias = entity_names(entities)
+    distinct = materialise(distinct, "names")
+    by_name, by_alias = (materialise(df, "entity-names") for df in entity_names(entities))
 
     exact = distinct.join(by_name.select("name", "entity_id"), "name").select("name", "entity_id", F.lit("exact").alias("method"), F.lit(100.0).alias("score"))
     left = distinct.join(exact, "name", "left_anti")
@@ -83,7 +86,8 @@ def resolve_subjects(
     close = homes.join(spots.select(F.col("adr.postal_code").alias("pc"), F.col("adr.normalized").alias("norm"), "entity_id"), F.col("a.postal_code") == F.col("pc"))
     close = close.withColumn("score", token_set(F.col("a.normalized"), F.col("norm"))).filter(F.col("score") >= address)
     placed = close.groupBy("name").agg(F.max_by(F.struct("entity_id", "score"), F.struct("score", "entity_id")).alias("m")).select("name", "m.entity_id", F.lit("address").alias("method"), "m.score")
-    left = left.join(placed, "name", "left_anti")
+    found = materialise(exact.unionByName(alias).unionByName(placed), "settled")
+    left = distinct.join(found, "name", "left_anti")
 
     known = sorted((r.name, r.entity_id, r.kind) for r in by_name.toLocalIterator())
     worded = None
@@ -91,14 +95,14 @@ def resolve_subjects(
         part = left.select("name", "guess").mapInArrow(_similar(known[at : at + NAMES], fuzzy), "name string, entity_id string, score double")
         worded = part if worded is None else worded.unionByName(part)
     worded = worded.groupBy("name").agg(F.max_by(F.struct("entity_id", "score"), F.struct("score", "entity_id")).alias("m")).select("name", "m.entity_id", F.lit("fuzzy").alias("method"), "m.score")
-    left = left.join(worded, "name", "left_anti")
-    found = exact.unionByName(alias).unionByName(placed).unionByName(worded)
+    found = materialise(found.unionByName(worded), "worded")
+    left = distinct.join(found, "name", "left_anti")
     if vector_col:
         ev = entities.filter(F.col("embedding").isNotNull()).select("entity_id", F.col("embedding").alias("ev")).dropDuplicates(["entity_id"])
         near = left.filter("vec is not null").join(ev, F.size("vec") == F.size("ev")).withColumn("score", cosine(F.col("vec"), F.col("ev"))).filter(F.col("score") >= cosine_least)
         embedded = near.groupBy("name").agg(F.max_by(F.struct("entity_id", "score"), F.struct("score", "entity_id")).alias("m")).select("name", "m.entity_id", F.lit("embedding").alias("method"), (F.col("m.score") * 100).alias("score"))
-        found = found.unionByName(embedded)
-        left = left.join(embedded, "name", "left_anti")
+        found = materialise(found.unionByName(embedded), "embedded")
+        left = distinct.join(found, "name", "left_anti")
     made = left.select("name", entity_key("name", "guess").alias("entity_id"), F.lit("new").alias("method"), F.lit(0.0).alias("score"))
     return rows.select("raw", "name").join(found.unionByName(made), "name").select(F.col("raw").alias(subject_col), F.col("name").alias("canonical"), "entity_id", "method", "score")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.fuzzy import token_set, token_sort
-from factloom.functions.number import relative_delta, relative_tolerance, unit_factor
+from factloom.functions.number import precision, relative_delta, tolerance, unit_factor
 from factloom.functions.period import period_contains, periods_equal, periods_overlap
 from factloom.functions.subject import normalize_address, scope_shift
 from factloom.functions.text import clean_text, link_id
@@ -20,9 +20,14 @@ FACT_COLUMNS = (
 
 
 def pair_facts(pairs: DataFrame, facts: DataFrame, documents: DataFrame) -> DataFrame:
-    """Both sides' columns beside each pair, as structs ``a`` and ``b``; the wide columns are fetched only now."""
+    """Both sides' columns beside each pair, as structs ``a`` and ``b``; the wide columns are fetched only now.
+
+    What depends on one fact alone (its number's precision, its address) is worked out before pairing, once a fact.
+    """
     docs = documents.select("doc_id", "as_of_date").dropDuplicates(["doc_id"])
-    wide = facts.select(*FACT_COLUMNS).join(docs, "doc_id", "left").select(F.col("fact_id"), F.struct(*FACT_COLUMNS, "as_of_date").alias("f"))
+    words = clean_text(F.coalesce(F.nullif("value_text", F.lit("")), "value_raw"))
+    once = {"precision": precision("value_raw"), "words": words, "address": normalize_address(words), "factor": unit_factor("unit_canonical"), "stated_rate": _stated_rate(F.col("qualifiers"))}
+    wide = facts.select(*FACT_COLUMNS).withColumns(once).join(docs, "doc_id", "left").select(F.col("fact_id"), F.struct(*FACT_COLUMNS, *once, "as_of_date").alias("f"))
     a, b = wide.withColumnsRenamed({"fact_id": "fact_a", "f": "a"}), wide.withColumnsRenamed({"fact_id": "fact_b", "f": "b"})
     return pairs.join(a, "fact_a").join(b, "fact_b")
 
@@ -44,23 +49,21 @@ def evaluate_pairs(paired: DataFrame, floor: float = 0.005, minor: float = 0.02)
     """
     a, b = (lambda c: F.col("a")[c]), (lambda c: F.col("b")[c])
     differ = lambda c: F.coalesce(a(c) != b(c), F.lit(False))
-    text = lambda x: clean_text(F.coalesce(F.nullif(x("value_text"), F.lit("")), x("value_raw")))
-    p = paired.withColumns({"_ta": text(a), "_tb": text(b)})
-    p = p.withColumns({"_aa": normalize_address("_ta"), "_ab": normalize_address("_tb")})
     wordy = ~F.coalesce((a("value_type") == "numeric") & (b("value_type") == "numeric"), F.lit(False))
-    p = p.withColumns({
-        "_sort": token_sort(F.when(wordy, F.lower("_ta")), F.when(wordy, F.lower("_tb"))),
-        "_set": token_set(F.when(wordy & F.col("_aa.postal_code").isNotNull(), F.col("_aa.normalized")), F.when(wordy, F.col("_ab.normalized"))),
+    postal = a("address")["postal_code"]
+    p = paired.withColumns({
+        "_sort": token_sort(F.when(wordy, F.lower(a("words"))), F.when(wordy, F.lower(b("words")))),
+        "_set": token_set(F.when(wordy & postal.isNotNull(), a("address")["normalized"]), F.when(wordy, b("address")["normalized"])),
         "_pa": F.coalesce(a("predicate_canonical"), a("predicate")),
         "_pb": F.coalesce(b("predicate_canonical"), b("predicate")),
         "_converts": F.coalesce(a("unit_canonical") != b("unit_canonical"), F.lit(False)),
         "_same_dim": F.coalesce(a("unit_dimension") == b("unit_dimension"), F.lit(False)),
     })
-    p = p.withColumn("_vb", F.when(F.col("_converts"), b("value_num") * unit_factor(b("unit_canonical")) / unit_factor(a("unit_canonical"))).otherwise(b("value_num")))
+    p = p.withColumn("_vb", F.when(F.col("_converts"), b("value_num") * b("factor") / a("factor")).otherwise(b("value_num")))
     p = p.withColumns({
         "_delta": F.col("_vb") - a("value_num"),
         "_rel": relative_delta(a("value_num"), F.col("_vb")),
-        "_tol": relative_tolerance(a("value_raw"), b("value_raw"), a("value_num"), F.col("_vb"), floor),
+        "_tol": tolerance(a("precision"), b("precision"), a("value_num"), F.col("_vb"), floor),
         "_shift": scope_shift(a("scope_tags"), b("scope_tags")),
     })
     days = (a("period_start"), a("period_end"), b("period_start"), b("period_end"))
@@ -72,7 +75,7 @@ def evaluate_pairs(paired: DataFrame, floor: float = 0.005, minor: float = 0.02)
     })
     agrees, period, shifted, rel = F.col("_agrees"), F.col("_period"), F.col("_shifted"), F.col("_rel")
     one_dim = a("unit_dimension").isNotNull() & b("unit_dimension").isNotNull()
-    rate = _stated_rate(a("qualifiers")) | _stated_rate(b("qualifiers"))
+    rate = a("stated_rate") | b("stated_rate")
     same_claim = a("predicate_canonical").eqNullSafe(b("predicate_canonical")) & a("entity_id").eqNullSafe(b("entity_id")) & (period == "equal")
     none = F.lit(None).cast("string")
     # (step, condition, relation, confidence), in order
@@ -82,7 +85,7 @@ def evaluate_pairs(paired: DataFrame, floor: float = 0.005, minor: float = 0.02)
         ("predicate_without_dimension", ~F.col("_pa").eqNullSafe(F.col("_pb")) & ~one_dim, F.lit("unrelated"), 0.9),
         ("currency", differ("currency") & ~rate, F.lit("unrelated"), 0.9),
         ("currency_with_rate", differ("currency"), none, 0.5),
-        ("address", wordy & F.coalesce((F.col("_aa.postal_code") == F.col("_ab.postal_code")) & (F.col("_set") >= 80), F.lit(False)), F.lit("corroborates"), 0.9),
+        ("address", wordy & F.coalesce((postal == b("address")["postal_code"]) & (F.col("_set") >= 80), F.lit(False)), F.lit("corroborates"), 0.9),
         ("wording", wordy & (F.col("_sort") >= 95), F.lit("corroborates"), 0.85),
         ("wording_period", wordy & (period == "disjoint"), F.lit("reconciled_by_period"), 0.8),
         ("wording_scope", wordy & shifted, F.lit("reconciled_by_scope"), 0.75),

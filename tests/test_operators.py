@@ -57,7 +57,7 @@ CASES = (
         (TEXT | dict(value_raw="12 MG Road 122001"), TEXT | dict(value_raw="12, MG Rd - 122001"), "corroborates", "address"),
         (TEXT | dict(value_raw="x y"), TEXT | OLD | dict(value_raw="p q"), "reconciled_by_period", "wording_period"),
         (TEXT | dict(value_raw="x y"), TEXT | dict(value_raw="p q"), None, "wording_unsettled"),
-    ],
+    ]
 )
 AREA = [dict(unit_canonical=u, unit_dimension="area", currency=None) for u in ("sq_ft", "sq_m")]
 
