@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factloom.functions.tables import BOUND_PATTERNS, COMPOUND_MAGNITUDES, CURRENCY_PATTERNS, LETTER_MAGNITUDES, MAGNITUDES, UNITS
 from factloom.functions.text import _c, clean_text, let
 
+#: What numbers, ranges and negatives in parentheses look like.
 NUMBER = r"[-+]?\d[\d,٬]*(?:\.\d+)?"
 RANGE = r"(?i)(\d[\d,]*(?:\.\d+)?)\s*(?:-|to|and)\s*(\d[\d,]*(?:\.\d+)?)"
 NEGATIVE = r"(?i)^\s*(?:[$€£¥₹]|(?:rs|inr|usd|eur|gbp|jpy|aud|cad)\.?)?\s*\(\s*[-+]?[\d.,]"

@@ -12,6 +12,7 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augus
 _M = "january|february|march|april|may|june|july|august|september|october|november|december|sept|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec"
 _FY = r"f\.?y\.?\s*'?\d{2,4}(?:\s*[-/]\s*\d{2,4})?"
 _BARE = r"\d{4}(?:\s*[-/]\s*\d{2,4})?"
+#: What period labels look like, in lower case.
 PATTERNS = {
     "quarter": rf"\bq([1-4])\s*[:\-]?\s*(?:of\s*)?({_FY}|c\.?y\.?\s*\d{{4}}|{_BARE})",
     "half": rf"\bh([12])\s*[:\-]?\s*({_FY}|c\.?y\.?\s*\d{{4}}|{_BARE})",

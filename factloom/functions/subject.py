@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factloom.functions.number import quote
 from factloom.functions.tables import LEGAL_SUFFIXES, SCOPE_ALIASES, SCOPE_SHIFT_GROUPS
-from factloom.functions.text import _c, clean_text, fold_accents, snake_case
+from factloom.functions.text import _c, clean_text, fold_accents, let, snake_case
 
 #: Short forms in addresses.
 ADDRESS_WORDS = {
@@ -18,6 +16,7 @@ ADDRESS_WORDS = {
     "ind": "industrial", "estt": "estate", "pkwy": "parkway", "sec": "sector", "ph": "phase", "dist": "district",
     "extn": "extension", "ext": "extension", "mkt": "market", "twp": "township", "n": "north", "s": "south", "e": "east", "w": "west",
 }
+#: Postal codes, forms of address, words of addresses.
 POSTAL = r"(?i)\b(\d{6}|\d{5}(?:-\d{4})?|[A-Z]{1,2}\d[A-Z\d]?\s*\d[A-Z]{2})\b"
 HONORIFICS = ("mr", "mrs", "ms", "dr", "prof", "shri", "smt", "sh")
 ADDRESS_HINTS = (
@@ -40,30 +39,34 @@ def canonical_subject(x: Column | str) -> Column:
 
 def normalize_address(x: Column | str) -> Column:
     """struct<normalized, postal_code, tokens>: upper case, short forms written out, the postal code apart."""
-    t = F.upper(clean_text(x))
-    raw = F.regexp_extract(t, POSTAL, 1)
-    postal = F.nullif(F.upper(F.regexp_replace(raw, r"\s+", "")), F.lit(""))
-    rest = F.when(raw == "", t).otherwise(F.replace(t, raw, F.lit(" ")))
-    words = F.filter(F.split(F.regexp_replace(rest, "[^A-Z0-9 ]+", " "), " +"), lambda w: w != "")
     table = F.create_map(*[F.lit(v.upper()) for kv in ADDRESS_WORDS.items() for v in kv])
-    tokens = F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w))
-    return F.struct(F.array_join(tokens, " ").alias("normalized"), postal.alias("postal_code"), tokens.alias("tokens"))
+
+    def split(t: Column) -> Column:
+        return let(F.regexp_extract(t, POSTAL, 1), lambda raw: F.struct(raw.alias("raw"), F.when(raw == "", t).otherwise(F.replace(t, raw, F.lit(" "))).alias("rest")))
+
+    def words(p: Column) -> Column:
+        plain = F.filter(F.split(F.regexp_replace(p["rest"], "[^A-Z0-9 ]+", " "), " +"), lambda w: w != "")
+        return F.struct(F.nullif(F.regexp_replace(p["raw"], r"\s+", ""), F.lit("")).alias("postal_code"), F.transform(plain, lambda w: F.coalesce(F.try_element_at(table, w), w)).alias("tokens"))
+
+    return let(let(let(F.upper(clean_text(x)), split), words), lambda r: F.struct(F.array_join(r["tokens"], " ").alias("normalized"), r["postal_code"].alias("postal_code"), r["tokens"].alias("tokens")))
 
 
 def guess_entity_type(x: Column | str) -> Column:
     """address, organisation, person, person_or_organisation (two to four capitalised words) or concept."""
-    t = clean_text(x)
-    low = F.lower(t)
-    legal = reduce(lambda a, b: a | b, [low.rlike(rf"(?:^|\W){quote(s)}\.?(?:$|\W)") for s in LEGAL_SUFFIXES])
-    words = F.split(t, " ")
-    capital = F.forall(words, lambda w: ~w.rlike(r"^\p{L}") | w.rlike(r"^\p{Lu}"))
-    return (
-        F.when(normalize_address(t)["postal_code"].isNotNull() | t.rlike(ADDRESS_HINTS), "address")
-        .when(legal, "organisation")
-        .when(low.rlike("^(?:" + "|".join(HONORIFICS) + r")\.? "), "person")
-        .when(F.size(words).between(2, 4) & capital & ~t.rlike(r"\d"), "person_or_organisation")
-        .otherwise("concept")
-    )
+    legal = r"(?:^|\W)(?:" + "|".join(quote(s) for s in LEGAL_SUFFIXES) + r")\.?(?:$|\W)"
+
+    def guess(t: Column) -> Column:
+        words = F.split(t, " ")
+        capital = F.forall(words, lambda w: ~w.rlike(r"^\p{L}") | w.rlike(r"^\p{Lu}"))
+        return (
+            F.when((F.regexp_extract(t, POSTAL, 1) != "") | t.rlike(ADDRESS_HINTS), "address")
+            .when(F.lower(t).rlike(legal), "organisation")
+            .when(F.lower(t).rlike("^(?:" + "|".join(HONORIFICS) + r")\.? "), "person")
+            .when(F.size(words).between(2, 4) & capital & ~t.rlike(r"\d"), "person_or_organisation")
+            .otherwise("concept")
+        )
+
+    return let(clean_text(x), guess)
 
 
 def types_compatible(a: Column, b: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import _c, chunk_id
 
+#: Lines of a table; breaks from the strongest to the weakest.
 _TABLE = re.compile(r"\s*(?:\|.*\||\[table \d+\])\s*")
 _BREAKS = ("\n\n", "\n", ". ", " ")
 

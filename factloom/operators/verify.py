@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.fuzzy import partial_ratio
 
+#: Typographic characters and their plain forms, marks of the markup.
 _FOLD = str.maketrans({"’": "'", "‘": "'", "“": '"', "”": '"', "–": "-", "—": "-", "−": "-", " ": " "})
 _MARKS = frozenset("*_~`#")
 

@@ -17,9 +17,9 @@ SCOPED = f"""{LATEST}, scoped AS (
   JOIN (SELECT DISTINCT ON (fact_id) fact_id, embedding FROM fact_embeddings
         WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0) v ON v.fact_id = f.fact_id
 )"""
-BLOCK = """a.fact_id < b.fact_id AND a.chunk_id <> b.chunk_id AND a.value_type = b.value_type AND a.collection = b.collection
-  AND (a.unit_dimension IS NOT DISTINCT FROM b.unit_dimension OR a.unit_dimension IS NULL OR b.unit_dimension IS NULL)
-  AND (a.entity_id = b.entity_id OR a.predicate_canonical = b.predicate_canonical)"""
+BLOCK = """b.fact_id > a.fact_id AND b.collection = a.collection AND b.value_type = a.value_type AND b.chunk_id != a.chunk_id
+  AND coalesce(a.unit_dimension = b.unit_dimension, true)
+  AND (coalesce(a.entity_id = b.entity_id, false) OR coalesce(a.predicate_canonical = b.predicate_canonical, false))"""
 
 
 def candidates(extra: str = "", tail: str = "") -> str:
