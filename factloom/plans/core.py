@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from factloom.functions import number, period, subject, text
 from factloom.operators import chunking, entities, funnel, rules, search, stats, store, verify
 from factloom.operators.quantities import agreeing_pairs, common_quantities
-from factloom.session import materialise, read_table
+from factloom.session import materialise, read_table, shared_dir
 from factloom.sources.landing import export_json
+from factloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, Query] = {}
@@ -301,6 +303,19 @@ def export_documents(spark: SparkSession, d: str) -> DataFrame:
     return export_json(read_table(spark, d, "documents").select("doc_id", "filename", "collection", "n_pages", "text"), ("text",))
 
 
+# Streams ---------------------------------------------------------------------------------------------------------------
+
+
+@query
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Events by day and type, read as a stream of files."""
+    where = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    batch = read_table(spark, d, "events")
+    stream = spark.readStream.schema(batch.schema).parquet(f"{d}/events.parque[t]")  # a pattern, as a stream takes no single file
+    counts = ingest.run_to_end(ingest.windowed_counts(stream, "ts", "event_type", "1 day"), f"{where}/out", f"{where}/state")
+    return counts.select(F.to_date("window.start").alias("day"), "event_type", "n")
+
+
 # Text ------------------------------------------------------------------------------------------------------------------
 
 

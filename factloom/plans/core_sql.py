@@ -188,6 +188,7 @@ UNION ALL SELECT 'facts', count(*) FROM facts WHERE doc_id NOT IN (SELECT doc_id
     q["update_documents"] = "SELECT doc_id, coalesce(title, substr(string_split(text, chr(10))[1], 1, 60)) AS title, status FROM documents"
     q["cache_misses"] = """SELECT DISTINCT canonical_string FROM (SELECT coalesce(subject_canonical, '') || ' | ' || coalesce(predicate_canonical, '') || ' | ' || coalesce(period_label_raw, '') || ' | ' ||
   coalesce(array_to_string(list_sort(scope_tags), ','), '') AS canonical_string FROM facts) WHERE canonical_string NOT IN (SELECT canonical_string FROM fact_embeddings WHERE canonical_string IS NOT NULL)"""
+    q["event_windows"] = "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"
     q["page_offsets"] = """SELECT doc_id, page_index, CAST(coalesce(sum(n + 2) OVER w, 0) AS BIGINT) AS char_start, CAST(coalesce(sum(n + 2) OVER w, 0) + n AS BIGINT) AS char_end
 FROM (SELECT DISTINCT ON (doc_id, page_index) doc_id, page_index, length(coalesce(text, '')) AS n FROM pages) WINDOW w AS (PARTITION BY doc_id ORDER BY page_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
     q["resolve_pages"] = """SELECT e.evidence_id, min(p.page_index) AS page_index FROM evidence e LEFT JOIN (SELECT DISTINCT doc_id, page_index, char_start, char_start + length(text) AS char_end FROM pages) p

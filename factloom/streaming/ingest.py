@@ -60,6 +60,16 @@ def stream_ingest(pages: DataFrame, store: str, checkpoint: str, each: Callable[
     return pages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Runs an aggregation over all files at hand; each micro-batch rewrites its result at ``path``, which is read back."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(path)
+
+
 def deduplicated(stream: DataFrame, time_col: str = "ingested_at", delay: str = "1 day") -> DataFrame:
     """An extension: rows of a document seen before within the watermark are dropped."""
     return stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["doc_id"])
@@ -67,4 +77,4 @@ def deduplicated(stream: DataFrame, time_col: str = "ingested_at", delay: str =
 
 def windowed_counts(events: DataFrame, time_col: str, key: str, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Events by window and key, late ones within ``delay`` included."""
-    return events.withWatermark(time_col, delay).groupBy(F.window(time_col, width), key).agg(F.count("*").alias("n"))
+    return events.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, delay).groupBy(F.window(time_col, width), key).agg(F.count("*").alias("n"))
