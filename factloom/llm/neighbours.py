@@ -1,7 +1,8 @@
 """The most similar vectors of every vector: a neighbour graph by NN-descent, and greedy search on it.
 
 The first graph comes from random cross-polytope buckets: every vector meets the others of its bucket in each of
-``tables`` hash tables. NN-descent then joins the graph with itself: two neighbours of one node are compared, and each node
+``tables`` hash tables. A bucket too large for one task is hashed further, by what its vectors differ in: by fresh rotations
+of their differences from the bucket's centre, twice, and again until no piece is too large. NN-descent then joins the graph with itself: two neighbours of one node are compared, and each node
 keeps its best, until hardly an edge changes. Equal vectors are one node throughout (they are merged within every batch
 before anything is shuffled) and are expanded at the end. Similarities are exact: candidates are found on one byte a
 number, and settled on the vectors themselves.
@@ -10,6 +11,7 @@ number, and settled on the vectors themselves.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -20,8 +22,12 @@ from pyspark.sql import functions as F
 
 from factloom.session import BROADCAST_ROWS, materialise, small_or_shuffled
 
-#: Rows of a bucket that one task compares with one another; a larger bucket is split at random, differently in each table.
-BUCKET_ROWS = 4096
+#: Most rows of a bucket that one task compares with one another; a larger bucket is hashed further into pieces of about a quarter.
+BUCKET_ROWS = 16384
+#: Hashes of the differences from the centre that each bucket too large gets.
+RESIDUAL_TABLES = 2
+#: Levels of further hashing. What is still too large then has one direction within rounding, and any piece of it will do.
+LEVELS = 12
 #: Wanted rows of a bucket; the number of buckets follows from it.
 AIM = 200
 
@@ -82,16 +88,70 @@ class Hasher:
             yield code
 
 
+def _mixed(code: np.ndarray, *more: np.ndarray | int) -> np.ndarray:
+    """64-bit mix of whole numbers."""
+    z = code.astype(np.uint64)
+    for m in more:
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9) + np.asarray(m).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (z ^ (z >> np.uint64(31))).astype(np.int64)
+
+
+class Splitter:
+    """Divides buckets that are too large by similarity: what their vectors differ from the centre by is hashed further.
+
+    Each level holds the buckets that are still too large, with their size and the mean of their unit vectors.
+    """
+
+    def __init__(self, dim: int, tables: int, seed: int):
+        self.dim, self.tables, self.seed = dim, tables, seed
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, sizes: dict[int, int], centres: dict[int, np.ndarray]) -> None:
+        keys = np.array(sorted(sizes), np.int64)
+        self.levels.append((keys, np.array([sizes[k] for k in keys.tolist()], np.int64), np.array([centres[k] for k in keys.tolist()])))
+
+    def _rotation(self, table: int, level: int, j: int) -> np.ndarray:
+        rng = np.random.default_rng([self.seed, 1 + table, level, j])
+        return np.linalg.qr(rng.standard_normal((self.dim, self.dim)))[0]
+
+    def pieces(self, u: np.ndarray, codes: Iterator[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+        """(table, rows, their codes, levels passed) of unit vectors; a row of a large bucket comes in several pieces."""
+        for table, code in enumerate(codes):
+            todo = [(np.arange(len(u)), code)]
+            for level, (keys, sizes, centres) in enumerate(self.levels):
+                after = []
+                for rows, c in todo:
+                    at = np.minimum(np.searchsorted(keys, c), len(keys) - 1)
+                    large = keys[at] == c
+                    if not large.all():
+                        yield table, rows[~large], c[~large], level
+                    rows, c, at = rows[large], c[large], at[large]
+                    if not len(rows):
+                        continue
+                    width = np.clip(np.rint(sizes[at] / (BUCKET_ROWS / 4) / 2), 1, self.dim)
+                    for j in range(1 if level else RESIDUAL_TABLES):
+                        y = (u[rows] - centres[at]) @ self._rotation(table, level, j)
+                        size = np.where(np.arange(self.dim) < width[:, None], np.abs(y), -1)
+                        best = size.argmax(1)
+                        side = 2 * best + (y[np.arange(len(y)), best] < 0)
+                        after.append((rows, _mixed(c, level, j, side)))
+                todo = after
+            for rows, c in todo:
+                yield table, rows, c, len(self.levels)
+
+
 def _top(sim: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of each row's ``k`` largest values of at least ``floor``."""
-    r, c = np.nonzero(sim >= floor)
-    if not len(r):
-        return r, c
-    order = np.lexsort((c, -sim[r, c], r))
-    r, c = r[order], c[order]
-    start = np.searchsorted(r, np.arange(sim.shape[0]))
-    keep = np.arange(len(r)) - start[r] < k
-    return r[keep], c[keep]
+    good = sim >= floor
+    n = good.sum(1)
+    many = np.flatnonzero(n > k)
+    few = np.flatnonzero((n > 0) & (n <= k))
+    r, c = np.nonzero(good[few])
+    if not len(many):
+        return few[r], c
+    top = np.argpartition(-sim if len(many) == len(sim) else -sim[many], k - 1, axis=1)[:, :k]
+    return np.concatenate([few[r], np.repeat(many, k)]), np.concatenate([c, top.ravel()])
 
 
 def as_units(q8: list[bytes]) -> np.ndarray:
@@ -111,17 +171,10 @@ def _bucket_edges(nodes: list[bytes], q8: list[bytes], k: int, floor: float) ->
     a: list = []
     b: list = []
     out: list = []
-    for s in range(0, len(x), 1024):
-        sim = x[s : s + 1024] @ x.T
-        sim[np.arange(len(sim)), np.arange(s, s + len(sim))] = -2
-        if floor <= -1:
-            c = np.argpartition(-sim, min(k, sim.shape[1] - 1) - 1, axis=1)[:, :k]
-            r = np.repeat(np.arange(len(sim)), c.shape[1])
-            c = c.ravel()
-            ok = sim[r, c] > -2
-            r, c = r[ok], c[ok]
-        else:
-            r, c = _top(sim, k, floor)
+    for s in range(0, len(x), 512):
+        sim = x[s : s + 512] @ x.T
+        sim[np.arange(len(sim)), np.arange(s, s + len(sim))] = -3
+        r, c = _top(sim, k, floor)
         a += names[r + s].tolist()
         b += names[c].tolist()
         out += sim[r, c].tolist()
@@ -212,27 +265,62 @@ def usable_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFr
 
 
 def neighbour_graph(
-    held: DataFrame, dim: int, k: int = 8, floor: float | None = None, tables: int = 6, rounds: int = 4, tolerance: float = 0.002, seed: int = 7
+    held: DataFrame, dim: int, k: int = 8, floor: float | None = None, tables: int = 6, rounds: int | None = None, tolerance: float = 0.002, seed: int = 7
 ) -> tuple[DataFrame, DataFrame]:
     """(edges ``a, b, s``: each node's ``k`` best other nodes found; vectors ``node, vec`` of the nodes with edges).
 
+    The descent goes on until at most ``tolerance`` of the edges change, or for ``rounds`` if given. Each round only replaces
+    edges by better ones, so it ends.
+
     With ``floor``, edges below that cosine are left out from the start. ``held`` is what ``usable_vectors`` gives.
     """
     firsts = held.filter("first").select("node", "vec")
     n = firsts.count()
-    hasher = Hasher(dim, n, tables, seed)
+    hasher, splitter = Hasher(dim, n, tables, seed), Splitter(dim, tables, seed)
     low = -2.0 if floor is None else floor - 0.02  # what one byte a number may be off by
+    limit = max(BUCKET_ROWS, n * tables // BROADCAST_ROWS)  # so that large buckets are at most BROADCAST_ROWS
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = vectors_of(b.column("vec"))
-            codes = np.concatenate(list(hasher.codes(x))) if len(x) else np.zeros(0, np.int64)
-            u, c = np.unique(codes, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c.astype(np.int64))], names=["bucket", "n"])
+    def pieces(x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+        return splitter.pieces(unit(x), hasher.codes(x)) if len(x) else iter(())
+
+    def too_large() -> dict[int, int]:
+        """Sizes of the last level's pieces that are over the limit."""
+        last = len(splitter.levels)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                codes = [c for _, _, c, level in pieces(vectors_of(b.column("vec"))) if level == last]
+                u, c = np.unique(np.concatenate([np.zeros(0, np.int64), *codes]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c.astype(np.int64))], names=["bucket", "n"])
 
-    limit = max(BUCKET_ROWS, n * tables // BROADCAST_ROWS)  # so that hot buckets are at most BROADCAST_ROWS
-    sizes = firsts.select("vec").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > limit)
-    hot = {r.bucket: -(-r.n // BUCKET_ROWS) for r in sizes.collect()}
+        sizes = firsts.select("vec").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+        return {r.bucket: r.n for r in sizes.filter(F.col("n") > limit).collect()}
+
+    def centres_of(large: dict[int, int]) -> dict[int, np.ndarray]:
+        last, keys = len(splitter.levels), np.array(sorted(large), np.int64)
+        names = [f"x{i}" for i in range(dim)]
+
+        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = vectors_of(b.column("vec"))
+                sums = np.zeros((len(keys), dim))
+                for _, rows, c, level in pieces(x):
+                    if level == last:
+                        at = np.minimum(np.searchsorted(keys, c), len(keys) - 1)
+                        ok = keys[at] == c
+                        np.add.at(sums, at[ok], unit(x[rows[ok]]))
+                some = np.flatnonzero(sums.any(1))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[some]), *(pa.array(sums[some, i]) for i in range(dim))], names=["bucket", *names])
+
+        sums = firsts.select("vec").mapInArrow(add_up, "bucket bigint, " + ", ".join(f"{c} double" for c in names)).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in names))
+        got = {r[0]: np.array(r[1:]) / large[r[0]] for r in sums.collect()}
+        return {k: got.get(k, np.zeros(dim)) for k in large}
+
+    large = too_large()
+    while large and len(splitter.levels) < LEVELS:
+        splitter.add(large, centres_of(large))
+        large = too_large()
+    even = {bucket: -(-size // BUCKET_ROWS) for bucket, size in large.items()}
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -241,11 +329,12 @@ def neighbour_graph(
                 continue
             q8 = _one_byte(x)
             node = b.column("node")
-            salt = np.array([int.from_bytes(v[:6], "big") for v in node.to_pylist()], np.int64)
-            for table, code in enumerate(hasher.codes(x)):
-                pieces = np.array([hot.get(c, 1) for c in code.tolist()], np.int64) if hot else np.ones(len(code), np.int64)
-                piece = ((salt >> table) % pieces).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(piece), node, q8], names=["bucket", "piece", "node", "q8"])
+            salt = np.array([int.from_bytes(v[:8], "big") for v in node.to_pylist()], np.uint64)
+            for table, rows, code, _ in pieces(x):
+                parts = np.array([even.get(c, 1) for c in code.tolist()], np.int64) if even else np.ones(len(code), np.int64)
+                piece = ((_mixed(salt[rows], table, code) >> 1 & 0x7FFFFFFF) % parts).astype(np.int32)
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(piece), node.take(take), q8.take(take)], names=["bucket", "piece", "node", "q8"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, nodes, q8 = None, [], []
@@ -276,7 +365,7 @@ def neighbour_graph(
             yield pa.RecordBatch.from_arrays([b.column("node"), _one_byte(vectors_of(b.column("vec")))], names=["node", "q8"])
 
     small = materialise(vectors.mapInArrow(shrink, "node binary, q8 binary"), "node-bytes")
-    for i in range(rounds):
+    for i in itertools.count() if rounds is None else range(rounds):
         out = graph.select(F.col("a").alias("at"), F.col("b").alias("x"), "s", "new")
         back = _best(graph, k, "b", "a").select(F.col("b").alias("at"), F.col("a").alias("x"), "s", "new")
         near = out.unionByName(back).groupBy("at", "x").agg(F.max("new").alias("new"))
@@ -298,7 +387,7 @@ def neighbour_graph(
 
 
 def most_similar(
-    df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5, floor: float | None = None, graph_k: int | None = None, tables: int = 6, rounds: int = 4
+    df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5, floor: float | None = None, graph_k: int | None = None, tables: int = 6, rounds: int | None = None
 ) -> DataFrame:
     """Each row's ``k`` most similar others: ``id, other, s``, ties by the smaller id.
 

@@ -306,6 +306,41 @@ def test_hot_bucket_is_split(spark):
     assert len(near) == 2500 and sum(r.s >= kth[r.id] - 1e-6 for r in near) >= 0.9 * 2500
 
 
+def test_large_group_of_near_equal_vectors():
+    """Most of the true nearest of a group that is divided meet in some piece, though each meets few of the group."""
+    rng = np.random.default_rng(12)
+    x = (rng.standard_normal(64) + 0.17 * rng.standard_normal((40_000, 64))).astype(np.float32)
+    u = neighbours.unit(x)
+    splitter = neighbours.Splitter(64, 6, 7)
+    one = np.zeros(len(x), np.int64)
+    splitter.add({0: len(x)}, {0: u.mean(0)})
+    asked = rng.choice(len(x), 300, replace=False)
+    s = u[asked] @ u.T
+    s[np.arange(300), asked] = -2
+    near = np.argpartition(-s, 5, axis=1)[:, :5]
+    met = np.zeros(near.shape, bool)
+    sizes = []
+    for _, rows, code, _ in splitter.pieces(u, iter([one] * 6)):
+        whole = np.full(len(x), -1, np.int64)
+        whole[rows] = code
+        met |= whole[near] == whole[asked][:, None]
+        sizes.append(np.unique(code, return_counts=True)[1].max())
+    assert len(sizes) == 12 and max(sizes) <= neighbours.BUCKET_ROWS and met.mean() >= 0.9
+
+
+def test_one_direction_is_divided_to_the_end(spark):
+    """Vectors of one direction can't be told apart by any rotation; every row still gets its five."""
+    base = np.arange(1, 17, dtype=np.float64)
+    df = spark.createDataFrame([(i, (base * 2.0 ** (i % 20) * (1 + i // 20)).tolist()) for i in range(240)], "fid bigint, v array<double>")
+    old, neighbours.BUCKET_ROWS = (neighbours.BUCKET_ROWS, neighbours.LEVELS), 50
+    neighbours.LEVELS = 2
+    try:
+        near = neighbours.most_similar(df, "fid", "v", 16).collect()
+    finally:
+        neighbours.BUCKET_ROWS, neighbours.LEVELS = old
+    assert len(near) == 1200 and all(r.s > 1 - 1e-6 for r in near)
+
+
 def test_greedy_search(spark):
     x = planted(400, 9)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "fid bigint, v array<double>")
