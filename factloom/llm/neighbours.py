@@ -28,8 +28,12 @@ BUCKET_ROWS = 16384
 RESIDUAL_TABLES = 2
 #: Levels of further hashing. What is still too large then has one direction within rounding, and any piece of it will do.
 LEVELS = 12
-#: Wanted rows of a bucket; the number of buckets follows from it.
+#: Wanted rows of a bucket where only pairs over a floor are wanted; the number of buckets follows from it.
 AIM = 200
+#: Wanted rows of a bucket without a floor: the nearest may be hardly nearer than others, so a row has to meet many.
+DENSE = 8192
+#: Without a floor there are at least as many tables as doublings from this many vectors, since a row then meets a smaller share.
+TABLES_FROM = 2048
 
 
 def usable(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,8 +71,8 @@ def _one_byte(x: np.ndarray) -> pa.Array:
 class Hasher:
     """Bucket numbers by ``depth`` concatenated cross-polytope hashes of random rotations, cut to ``width`` directions."""
 
-    def __init__(self, dim: int, n: int, tables: int, seed: int):
-        wanted = max(2.0, n / AIM)
+    def __init__(self, dim: int, n: int, tables: int, seed: int, aim: int = AIM):
+        wanted = max(2.0, n / aim)
         self.depth = max(1, math.ceil(math.log(wanted) / math.log(2 * dim)))
         self.depth = max(self.depth, 2 if wanted > 2 * dim else 1)
         self.width = min(dim, max(1, round(wanted ** (1 / self.depth) / 2)))
@@ -276,7 +280,9 @@ def neighbour_graph(
     """
     firsts = held.filter("first").select("node", "vec")
     n = firsts.count()
-    hasher, splitter = Hasher(dim, n, tables, seed), Splitter(dim, tables, seed)
+    if floor is None:
+        tables = max(tables, math.ceil(math.log2(max(n, 1) / TABLES_FROM)))
+    hasher, splitter = Hasher(dim, n, tables, seed, DENSE if floor is None else AIM), Splitter(dim, tables, seed)
     low = -2.0 if floor is None else floor - 0.02  # what one byte a number may be off by
     limit = max(BUCKET_ROWS, n * tables // BROADCAST_ROWS)  # so that large buckets are at most BROADCAST_ROWS
 
@@ -330,6 +336,9 @@ def neighbour_graph(
             q8 = _one_byte(x)
             node = b.column("node")
             salt = np.array([int.from_bytes(v[:8], "big") for v in node.to_pylist()], np.uint64)
+            if floor is None:  # a row that is alone in all its buckets starts from random others
+                anywhere = -1 - (_mixed(salt, tables) >> 1 & 0x7FFFFFFF) % max(1, n // DENSE)
+                yield pa.RecordBatch.from_arrays([pa.array(anywhere), pa.array(np.zeros(len(x), np.int32)), node, q8], names=["bucket", "piece", "node", "q8"])
             for table, rows, code, _ in pieces(x):
                 parts = np.array([even.get(c, 1) for c in code.tolist()], np.int64) if even else np.ones(len(code), np.int64)
                 piece = ((_mixed(salt[rows], table, code) >> 1 & 0x7FFFFFFF) % parts).astype(np.int32)

@@ -341,6 +341,29 @@ def test_one_direction_is_divided_to_the_end(spark):
     assert len(near) == 1200 and all(r.s > 1 - 1e-6 for r in near)
 
 
+def test_row_alone_in_its_buckets_has_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal(16) + 0.01 * rng.standard_normal((200, 16))
+    x[0] = -x[0]
+    monkeypatch.setattr(neighbours, "DENSE", 20)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "fid bigint, v array<double>")
+    near = neighbours.most_similar(df, "fid", "v", 16, graph_k=14).collect()
+    assert sum(r.id == 0 for r in near) == 5 and len(near) == 1000
+
+
+def test_nearest_of_hard_vectors(spark):
+    """Random vectors, of which the nearest are hardly nearer than others."""
+    rng = np.random.default_rng(14)
+    x = rng.standard_normal((12_000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "fid bigint, v array<float>").repartition(4)
+    near = neighbours.most_similar(df, "fid", "v", 64, graph_k=14).filter("id % 40 = 0").collect()
+    u = neighbours.unit(x)
+    s = u[::40] @ u.T
+    s[np.arange(300), np.arange(0, 12_000, 40)] = -2
+    kth = np.sort(s, axis=1)[:, -5]
+    assert len(near) == 1500 and sum(r.s >= kth[r.id // 40] - 1e-6 for r in near) >= 0.9 * 1500
+
+
 def test_greedy_search(spark):
     x = planted(400, 9)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "fid bigint, v array<double>")
