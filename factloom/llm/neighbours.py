@@ -271,7 +271,7 @@ def usable_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFr
 def neighbour_graph(
     held: DataFrame, dim: int, k: int = 8, floor: float | None = None, tables: int = 6, rounds: int | None = None, tolerance: float = 0.002, seed: int = 7
 ) -> tuple[DataFrame, DataFrame]:
-    """(edges ``a, b, s``: each node's ``k`` best other nodes found; vectors ``node, vec`` of the nodes with edges).
+    """(edges ``a, b, s``: each node's ``k`` best other nodes found; vectors ``node, vec``: all, with ``floor`` those of nodes with edges).
 
     The descent goes on until at most ``tolerance`` of the edges change, or for ``rounds`` if given. Each round only replaces
     edges by better ones, so it ends.
@@ -366,8 +366,11 @@ def neighbour_graph(
     buckets = firsts.mapInArrow(spread, "bucket bigint, piece int, node binary, q8 binary").repartition("bucket", "piece").sortWithinPartitions("bucket", "piece")
     met = buckets.mapInArrow(meet, "a binary, b binary, s double").groupBy("a", "b").agg(F.max("s").alias("s"))
     graph = materialise(_best(met, k).withColumn("new", F.lit(True)), "graph-0")
-    nodes = materialise(graph.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    vectors = materialise(firsts.join(small_or_shuffled(nodes), "node", "left_semi").dropDuplicates(["node"]), "node-vectors")
+    wanted = firsts
+    if floor is not None:
+        nodes = materialise(graph.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+        wanted = firsts.join(small_or_shuffled(nodes), "node", "left_semi")
+    vectors = materialise(wanted.dropDuplicates(["node"]), "node-vectors")
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -426,13 +429,13 @@ def similar_pairs(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: in
 
 
 def greedy_search(
-    queries: DataFrame, edges: DataFrame, vectors: DataFrame, dim: int, k: int = 5, beam: int = 16, entries: int = 32, max_steps: int = 8, seed: int = 11
+    queries: DataFrame, edges: DataFrame, vectors: DataFrame, dim: int, k: int = 5, beam: int = 16, entries: int = 32, max_steps: int | None = None, seed: int = 11
 ) -> DataFrame:
     """``qid, node, s``: for each query (``qid, vec``) the ``k`` best nodes that greedy search finds on the graph.
 
     Every query starts from a few common nodes and up to ``entries`` nodes of each of its hash buckets; each step
     opens the unopened nodes among its ``beam`` best and keeps the ``beam`` best of all seen. It ends when no query has any
-    left to open, or after ``max_steps``. Queries move through joins with the graph, never through the driver.
+    left to open (a node that fell out of the beam never comes back, so it ends), or after ``max_steps`` if given. Queries move through joins with the graph, never through the driver.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialise(both, "links")
@@ -472,10 +475,20 @@ def greedy_search(
         return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= m).drop("_r")
 
     state = materialise(best(measured(starts), beam).withColumn("open", F.lit(True)), "beam-0")
-    for i in range(max_steps):
+    for i in itertools.count() if max_steps is None else range(max_steps):
         if state.filter("open").isEmpty():
             break
         frontier = state.filter("open").join(both, state["node"] == both["a"]).select("qid", F.col("b").alias("node")).distinct()
         fresh = measured(frontier.join(state.select("qid", "node"), ["qid", "node"], "left_anti")).withColumn("open", F.lit(True))
         state = materialise(best(state.withColumn("open", F.lit(False)).unionByName(fresh), beam), f"beam-{i + 1}")
     return best(state.select("qid", "node", "s"), k)
+
+
+def other_rows(found: DataFrame, held: DataFrame, k: int = 5) -> DataFrame:
+    """``id, other, s``: the ``k`` best rows of the nodes found (``qid, node, s``; ``k + 1`` of them, as the query's own is one).
+
+    The query's own row is left out; other rows with its vector are not.
+    """
+    few = _best(held.select("id", "node").distinct().join(found.select("node").distinct(), "node", "left_semi").withColumn("s", F.lit(1.0)), k + 1, "node", "id")
+    rows = found.join(few.select("node", F.col("id").alias("other")), "node").select(F.col("qid").alias("id"), "other", "s").filter("id <> other")
+    return _best(rows, k, "id", "other")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factloom.llm.leak import leak_report, leaked_items, remove_leaks
 from factloom.llm.lines import clean_pages, repeated_lines
 from factloom.llm.names import link_names
-from factloom.llm.neighbours import greedy_search, most_similar, neighbour_graph, similar_pairs, usable_vectors
+from factloom.llm.neighbours import greedy_search, most_similar, neighbour_graph, other_rows, similar_pairs, usable_vectors
 from factloom.llm.packing import pack
 from factloom.llm.spans import document_pairs, document_spans, shared_coverage, shared_windows
 from factloom.llm.split import split_items
@@ -38,13 +38,12 @@ def p1_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_search(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy search on the graph for one fact in a hundred (by its id's checksum) against all vectors."""
+    """Greedy search on the graph for one fact in a hundred (by its id's checksum) against all others: its five nearest rows."""
     held = usable_vectors(read_table(spark, d, "fact_embeddings"), "fact_id", "embedding", DIM)
-    edges, vectors = neighbour_graph(held, DIM, k=8)
+    edges, vectors = neighbour_graph(held, DIM, k=14)
     asked = held.filter(F.crc32("id") % 100 == 0).select("id", "node").distinct()
-    found = greedy_search(asked.join(vectors, "node").select(F.col("id").alias("qid"), "vec"), edges, vectors, DIM)
-    members = held.groupBy("node").agg(F.min("id").alias("other"))
-    return found.join(members, "node").select(F.col("qid").alias("id"), "other", F.round("s", 6).alias("similarity"))
+    found = greedy_search(asked.join(vectors, "node").select(F.col("id").alias("qid"), "vec"), edges, vectors, DIM, k=6)
+    return other_rows(found, held, k=5).select("id", "other", F.round("s", 6).alias("similarity"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

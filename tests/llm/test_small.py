@@ -376,6 +376,22 @@ def test_greedy_search(spark):
     assert hits >= 0.9 * 40
 
 
+def test_search_gives_five_others(spark, tmp_path):
+    from factloom.llm import queries
+
+    x = np.random.default_rng(15).standard_normal((900, 64))
+    x[3] = x[2]
+    data = [(f"{i:04d}", v.tolist()) for i, v in enumerate(x)]
+    spark.createDataFrame(data, "fact_id string, embedding array<double>").write.parquet(f"{tmp_path}/fact_embeddings.parquet")
+    got = queries.p1_search(spark, str(tmp_path)).collect()
+    u = neighbours.unit(x.astype(np.float32))
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    asked = {r.id for r in got}
+    assert asked and len(got) == 5 * len(asked) and all(r.id != r.other for r in got)
+    assert sum(r.similarity >= np.sort(s[int(r.id)])[-5] - 1e-6 for r in got) >= 0.9 * len(got)
+
+
 def test_names_of_queries():
     from factloom.llm import queries, sql
 
