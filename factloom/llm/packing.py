@@ -47,19 +47,22 @@ def plan_patterns(counts: dict[int, int], capacity: int) -> list[Pattern]:
 
     consume([capacity]) if have[capacity] else None
     for k in (1, 2, 3):  # complements of one, two, three items
-        for a in range(capacity - 1, 0, -1):
+        for a in range(capacity - 1, -(-capacity // (k + 1)) - 1, -1):  # the largest item of an exact fit is at least the mean
+            if k == 3 and have[a]:
+                thirds = _thirds(have, capacity - a)
             while have[a]:
                 gap = capacity - a
                 found = None
                 if k == 1:
                     found = [gap] if have[gap] >= (2 if gap == a else 1) else None
                 elif k == 2:
-                    found = _pair(have, gap, a)
+                    found = _pair(have, gap, [a])
                 else:
-                    for c in np.flatnonzero(have[: gap // 3 + 1])[::-1][:64]:
-                        if (rest := _pair(have, gap - int(c), a)) and _times(_need([a, int(c), *rest]), have):
-                            found = [int(c), *rest]
-                            break
+                    while thirds and not found:  # counts only fall: a third without a fit has none later
+                        if rest := _pair(have, gap - thirds[0], [a, thirds[0]]):
+                            found = [thirds[0], *rest]
+                        else:
+                            thirds.pop(0)
                 if not found or not consume([a, *found]):
                     break
     while have.any():  # best fit: the largest items first, each gap by the largest that fits
@@ -87,15 +90,24 @@ def _need(parts: list[int]) -> dict[int, int]:
     return {p: parts.count(p) for p in parts}
 
 
-def _pair(have: np.ndarray, gap: int, beside: int) -> list[int] | None:
-    """Two available sizes that add up to ``gap``, the larger as large as can be, next to one item of ``beside``."""
+def _thirds(have: np.ndarray, gap: int) -> list[int]:
+    """The available sizes, largest first, that some two available sizes, counts aside, fill up to ``gap``."""
+    size = 2 * len(have)
+    f = np.fft.rfft((have > 0).astype(float), size)
+    pairs = np.fft.irfft(f * f, size) > 0.5
+    c = np.flatnonzero(have[: gap // 3 + 1])
+    return c[pairs[gap - c]][::-1].tolist()
+
+
+def _pair(have: np.ndarray, gap: int, beside: list[int]) -> list[int] | None:
+    """Two available sizes that add up to ``gap``, the larger as large as can be, next to the items of ``beside``."""
     if gap < 2:
         return None
     low = np.arange(1, gap // 2 + 1)
     ok = np.flatnonzero((have[low] > 0) & (have[gap - low] > 0))
-    for i in ok[:8]:
+    for i in ok[:8]:  # counts fail only for sizes of ``beside`` and for two halves
         b, c = int(low[i]), int(gap - low[i])
-        if _times(_need([beside, b, c]), have):
+        if _times(_need([*beside, b, c]), have):
             return [b, c]
     return None
 

@@ -94,6 +94,13 @@ def test_plan_places_all(counts):
     assert boxes <= max(1, 2 * -(-total // 40)) or not counts  # no two containers fit in one
 
 
+def test_triple_complement_tries_every_third():
+    """Only the four sizes that leave 1 when divided by 6 fit exactly; 78 thirds without a fit stand before the first that has one."""
+    fit = {2101: 1, 1801: 1, 187: 1, 7: 1}
+    counts = fit | {1806: 1} | {s: 1 for s in range(192, 660, 6)}
+    assert (1, fit) in packing.plan_patterns(counts, 4096)
+
+
 def test_pack(spark, rows):
     sizes = [(i, int(x)) for i, x in enumerate(np.random.default_rng(3).integers(1, 260, 400))] + [(1000 + i, 77) for i in range(300)]
     df = spark.createDataFrame(sizes + sizes[:5] + [(5000, None), (None, 3)], "id bigint, n bigint").withColumn("container_id", F.lit("clash"))
