@@ -100,7 +100,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents")
-    return shared_coverage(document_spans(shared_windows(docs), docs))
+    return shared_coverage(document_spans(shared_windows(docs), docs), documents=docs)
 
 
 def queries() -> dict[str, Query]:

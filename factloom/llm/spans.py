@@ -264,6 +264,12 @@ def document_spans(shared: SharedSpans, documents: DataFrame, id_col: str = "doc
     return partial.unionByName(whole).distinct().withColumnRenamed("_id", id_col)
 
 
-def shared_coverage(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """How many characters of each document stand elsewhere too: ``id_col, shared_chars, n_spans``."""
-    return spans.groupBy(id_col).agg(F.sum(F.col("span_end") - F.col("span_start")).alias("shared_chars"), F.count("*").alias("n_spans"))
+def shared_coverage(spans: DataFrame, id_col: str = "doc_id", documents: DataFrame | None = None) -> DataFrame:
+    """How many characters of each document stand elsewhere too: ``id_col, shared_chars, n_spans``.
+
+    With ``documents``, each of their ids has a row, of 0 where nothing is shared.
+    """
+    parts = spans.select(id_col, (F.col("span_end") - F.col("span_start")).alias("_n"), F.lit(1).alias("_s"))
+    if documents is not None:
+        parts = parts.unionByName(documents.select(id_col, F.lit(0).cast("bigint").alias("_n"), F.lit(0).alias("_s")))
+    return parts.groupBy(id_col).agg(F.sum("_n").alias("shared_chars"), F.sum("_s").alias("n_spans"))

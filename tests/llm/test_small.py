@@ -190,6 +190,8 @@ def test_spans_against_brute_force(spark, rows):
             if t[k : k + 40] in other:
                 marked |= set(range(k, k + 40))
         assert cover.get(i, 0) == len(marked), (i, text[i])
+    every = dict(rows(spans.shared_coverage(spans.document_spans(sh, df, min_chars=40), documents=df), "doc_id", "shared_chars"))
+    assert every == {i: cover.get(i, 0) for i in text} and 0 in every.values()
     assert spans.document_pairs(spans.shared_windows(df.limit(0))).count() == 0
 
 
