@@ -1,32 +1,26 @@
 """Variant spellings of names: each mention is linked to the entity it means, or to none.
 
-Pigeonhole segment join: a word of n letters that may differ by k edits is cut into k + 1 segments, of which at least one
-must stand unchanged in any variant; the index words' segments are joined with the substrings of the mention's words that
-may hold them (position-shifted), and what meets is verified by banded edit distance. Entities that share a verified
-distinctive word (or the whole joined name, or initials) become candidates, and all words of both names decide.
+Words of mentions and of entities' names are related by a pigeonhole segment join and banded edit distance, mentions and
+entities by those words (``wordjoin``); then all words of both names decide. A mention of initials alone is looked up among
+the initials of whole names, of which two entities a legal form are kept: more would only tie.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.similar import align, banded_distance, edits_allowed, fold, word_similarity
+from factloom.llm.similar import IRREGULAR, align, banded_distance, edits_allowed, fold, word_similarity
+from factloom.llm.wordjoin import candidates, near_words, spread
 from factloom.session import materialise
 
-#: A word of more entities than this is no key of its own; names without any rarer word are found by their joined letters.
-COMMON = 8
-
-# Forms of address, notes, legal forms and short given names -------------------------------------------
+# Forms of address, legal forms, and short forms of common English given names -------------------------------
 TITLES = frozenset("mr mrs ms miss dr prof shri smt sir the".split())
-NOTES = ("the company", "formerly listed", "formerly", "group")
 LEGAL = {
     "llp": "llp", "l l p": "llp", "limited liability partnership": "llp",
     "plc": "plc", "p l c": "plc", "public limited company": "plc",
@@ -37,96 +31,78 @@ LEGAL = {
     "corporation": "corp", "corp": "corp", "corpn": "corp",
     "company": "co", "and co": "co", "and company": "co", "co": "co",
 }
-NICKNAMES = {
-    "alex": "alexander", "sandy": "alexander", "al": "alexander", "ana": "anastasia", "stacy": "anastasia", "tasia": "anastasia", "nastya": "anastasia",
-    "ben": "benjamin", "benny": "benjamin", "benji": "benjamin", "charlie": "charlotte", "lottie": "charlotte", "lotte": "charlotte",
-    "chris": "christopher", "kit": "christopher", "topher": "christopher", "ed": "edward", "eddie": "edward", "ned": "edward", "ted": "edward theodore",
-    "beth": "elizabeth", "betty": "elizabeth", "eliza": "elizabeth", "liz": "elizabeth", "lizzie": "elizabeth", "lisa": "elizabeth",
-    "fred": "frederick", "freddie": "frederick", "freddy": "frederick", "gabi": "gabriela", "gaby": "gabriela", "gabby": "gabriela",
-    "jen": "jennifer", "jenny": "jennifer", "jo": "josephine", "josie": "josephine", "kate": "katherine", "kathy": "katherine", "katie": "katherine", "kat": "katherine", "kitty": "katherine",
-    "leo": "leonardo", "maggie": "margaret", "meg": "margaret", "peggy": "margaret", "greta": "margaret", "nate": "nathaniel", "nat": "nathaniel",
-    "dick": "richard", "rich": "richard", "rick": "richard", "ricky": "richard", "bob": "robert", "bobby": "robert", "rob": "robert", "robbie": "robert",
-    "sue": "susannah", "suki": "susannah", "susie": "susannah", "suzy": "susannah", "zanna": "susannah", "theo": "theodore", "teddy": "theodore",
-    "bill": "william", "billy": "william", "will": "william", "liam": "william", "willy": "william",
-}
-#: The longer nicknames of each given name, in which a typo may be looked for.
-NICKS_OF = {name: [n for n, full in NICKNAMES.items() if len(n) > 3 and name in full.split()] for full in NICKNAMES.values() for name in full.split()}
-_LEGAL_WORDS = sorted((tuple(k.split()), v) for k, v in LEGAL.items())
+GIVEN_NAMES = """
+abigail: abby gail | albert: al bert | alexander: alex al sandy sasha | alexandra: alex sandra sandy | alfred: alf fred | amanda: mandy | anastasia: ana stacy tasia nastya
+andrew: andy drew | anthony: tony | barbara: barb babs | benjamin: ben benny benji | catherine: cathy cate kitty | charles: charlie chuck | charlotte: charlie lottie lotte | christina: chris tina
+christopher: chris kit topher | cynthia: cindy | daniel: dan danny | david: dave davy | deborah: deb debbie | donald: don | dorothy: dot dolly | edward: ed eddie ned ted | eleanor: ellie nell nora
+elizabeth: beth betty eliza liz lizzie lisa bess | emily: em millie | florence: flo | frances: fran | francis: frank | frederick: fred freddie freddy | gabriel: gabe | gabriela: gabi gaby gabby
+george: georgie | gerald: gerry | gregory: greg | harold: harry | helen: nell | henry: hank harry | isabella: bella izzy | jacob: jake | jacqueline: jackie | james: jim jimmy jamie | jennifer: jen jenny
+john: jack johnny | jonathan: jon | joseph: joe joey | josephine: jo josie | judith: judy | katherine: kate kathy katie kat kitty | kenneth: ken kenny | lawrence: larry | leonard: len lenny | leonardo: leo
+louis: lou | madeleine: maddie | margaret: maggie meg peggy greta rita | martin: marty | mary: molly polly | matthew: matt | michael: mike mick | nathaniel: nate nat | nicholas: nick nicky | pamela: pam
+patricia: pat patty tricia | patrick: pat paddy | peter: pete | philip: phil pip | rachel: rae | raymond: ray | rebecca: becky | richard: dick rich rick ricky | robert: bob bobby rob robbie bert
+ronald: ron ronnie | samuel: sam | sarah: sally | stephen: steve | susan: sue susie | susannah: sue suki susie suzy zanna | theodore: theo teddy ted | theresa: terry tess | thomas: tom tommy
+timothy: tim | victoria: vicky tori | vincent: vince vinny | virginia: ginny | walter: walt wally | william: bill billy will liam willy | zachary: zach
+"""
+#: Given name -> its short forms.
+NICKNAMES: dict[str, list[str]] = {k.strip(): v.split() for line in GIVEN_NAMES.strip().splitlines() for k, v in (part.split(":") for part in line.split("|"))}
 _INITIALS = re.compile(r"\b(?:[a-z]\.){2,}[a-z]?\b\.?")
 
 
-def _respell(word: str) -> str:
+def _respell(word: str, legal_forms: dict[str, str]) -> str:
     """A long legal form with a typo becomes the form."""
-    if len(word) > 5 and word not in LEGAL:
+    if len(word) > 5 and word not in legal_forms:
         for form in ("limited", "private", "incorporated", "corporation", "company"):
             if banded_distance(word, form, 1) <= 1:
                 return form
     return word
 
 
-@lru_cache(maxsize=1 << 16)
-def parse_name(raw: str | None) -> tuple[list[str], str | None]:
-    """(words without titles, notes and legal form, legal form); the words are shared, not to be changed."""
-    text = fold(raw or "")
-    text = text.replace("m/s.", " ").replace("m/s ", " ")
-    text = re.sub(r"\((" + "|".join(NOTES) + r")\)", " ", text)
-    text = _INITIALS.sub(lambda m: " " + m.group().replace(".", "") + " ", text)
-    text = re.sub(r"'s\b", " ", text).replace("&", " and ")
-    text = re.sub(r"(?<=\w)['-](?=\w)", "", text)
-    words = re.findall(r"[a-z0-9]+", text)
-    words = words[:1] + [_respell(w) for w in words[1:]]
-    legal = None
-    for size in (3, 2, 1):
-        i = len(words) - size
-        while i >= 0:
-            for form, short in _LEGAL_WORDS:
-                if len(form) == size and tuple(words[i : i + size]) == form and len(words) > size:
+class NameParser:
+    """Splits names into words and legal form; ``legal_forms`` maps each spelling of a form to its short one."""
+
+    def __init__(self, legal_forms: dict[str, str]):
+        self.legal_forms = legal_forms
+        self.by_size = {n: {tuple(k.split()): v for k, v in legal_forms.items() if len(k.split()) == n} for n in (3, 2, 1)}
+        self.parse = lru_cache(maxsize=1 << 16)(self._parse)
+
+    def _parse(self, raw: str | None) -> tuple[list[str], str | None]:
+        """(words without titles, remarks in brackets and legal form, legal form); the words are shared, not to be changed."""
+        text = fold(raw or "")
+        text = text.replace("m/s.", " ").replace("m/s ", " ")
+        bare = re.sub(r"\([^()]{2,}\)|\[[^\[\]]{2,}\]", " ", text)
+        text = bare if re.search(r"[a-z0-9]", bare) else text
+        text = _INITIALS.sub(lambda m: " " + m.group().replace(".", "") + " ", text)
+        text = re.sub(r"'s\b", " ", text).replace("&", " and ")
+        text = re.sub(r"(?<=\w)['-](?=\w)", "", text)
+        words = re.findall(r"[a-z0-9]+", text)
+        words = words[:1] + [_respell(w, self.legal_forms) for w in words[1:]]
+        legal = None
+        for size, known in self.by_size.items():
+            i = len(words) - size
+            while i >= 0:
+                if len(words) > size and (short := known.get(tuple(words[i : i + size]))):
                     legal = legal or short
                     words[i : i + size] = []
-                    break
-            i -= 1
-    while len(words) > 1 and words[0] in TITLES:
-        words = words[1:]
-    if len(words) > 1 and words[-1] == "group":
-        words = words[:-1]
-    return [w for w in words if w not in ("and", "of", "the")] or words, legal
+                i -= 1
+        while len(words) > 1 and words[0] in TITLES:
+            words = words[1:]
+        if len(words) > 1 and words[-1] == "group":
+            words = words[:-1]
+        words = [w for w in words if w not in ("and", "of", "the")] or words
+        return ["".join(words)] if len(words) > 1 and all(len(w) == 1 for w in words) else words, legal
 
 
 def joined_words(words: list[str]) -> list[tuple[str, int, int]]:
     """The words, and neighbours joined into one (a word may have been broken by a space): (letters, from, to)."""
     one = [(w, i, i + 1) for i, w in enumerate(words)]
-    return one + [(words[i] + words[i + 1], i, i + 2) for i in range(len(words) - 1)]
-
-
-def segments(n: int, k: int) -> list[tuple[int, int]]:
-    """(start, length) of the k + 1 segments of a word of ``n`` letters, as even as can be."""
-    base, extra = divmod(n, k + 1)
-    out, at = [], 0
-    for i in range(k + 1):
-        size = base + (i >= k + 1 - extra)
-        out.append((at, size))
-        at += size
-    return out
+    two = [(words[i] + words[i + 1], i, i + 2) for i in range(len(words) - 1)]
+    return one + two + ([("".join(words), 0, len(words))] if len(words) > 2 else [])
 
 
-def index_keys(word: str) -> list[str]:
-    """Keys under which an index word is found: its length, the segment's number and letters."""
-    n, k = len(word), edits_allowed(len(word))
-    return [f"{n}.{i}.{word[s : s + size]}" for i, (s, size) in enumerate(segments(n, k))]
-
-
-def probe_keys(word: str) -> list[str]:
-    """Keys that hold every index word within its allowed edits of ``word``: substrings at shifted positions."""
-    out, m = [], len(word)
-    for n in range(max(1, m - 3), m + 4):
-        k = edits_allowed(n)
-        d = m - n
-        if abs(d) > k:
-            continue
-        for i, (s, size) in enumerate(segments(n, k)):
-            for at in range(max(0, s - i, s + d - (k - i)), min(m - size, s + i, s + d + (k - i)) + 1):
-                out.append(f"{n}.{i}.{word[at : at + size]}")
-    return sorted(set(out))
+def _lists(column: pa.Array) -> Iterator[list[float]]:
+    """The lists of a column of numbers, without an object a number in between."""
+    values, ends = column.flatten().to_numpy(zero_copy_only=False).tolist(), column.value_lengths().to_numpy(zero_copy_only=False).cumsum().tolist()
+    return (values[s:e] for s, e in zip([0, *ends], ends))
 
 
 def initials(words: list[str]) -> str:
@@ -136,31 +112,21 @@ def initials(words: list[str]) -> str:
 class Scorer:
     """Decides between an entity's forms and a mention by the words both have, weighted by rarity."""
 
-    def __init__(self, df: dict[str, int], n: int):
-        self.df, self.n = df, max(n, 2)
-
-    def weight(self, word: str) -> float:
-        return math.log(1 + self.n / self.df.get(word, 1))
-
-    def query_weight(self, word: str, known: list[str]) -> float:
-        """A word of the mention that the entity lacks weighs like the most common word it may stand for."""
-        if word in self.df:
-            return self.weight(word)
-        near = [t for t in known if word_similarity(word, t) > 0]
-        return min((self.weight(t) for t in near), default=self.weight(word))
+    def __init__(self, nicknames: dict[str, list[str]]):
+        self.nicks = {n: [k for k, v in nicknames.items() if n in v] for n in {n for v in nicknames.values() for n in v}}
+        self.longer = {k: [n for n in v if len(n) > 3] for k, v in nicknames.items()}
+        self.similarity = lru_cache(maxsize=1 << 18)(self._similarity)
 
-    @staticmethod
-    @lru_cache(maxsize=1 << 18)
-    def similarity(q: str, t: str) -> float:
+    def _similarity(self, q: str, t: str) -> float:
         s = word_similarity(q, t)
-        for full in NICKNAMES.get(q, "").split():
+        for full in self.nicks.get(q, ()):
             s = max(s, 0.95 * word_similarity(full, t))
-        if s == 0 and len(q) > 4 and any(banded_distance(q, nick, 1) <= 1 for nick in NICKS_OF.get(t, ())):
+        if s == 0 and len(q) > 4 and any(banded_distance(q, nick, 1) <= 1 for nick in self.longer.get(t, ())):
             s = 0.7
         return s
 
-    def score(self, query: list[str], legal: str | None, form: list[str], form_legal: str | None, common: list[str]) -> float:
-        """0..1: how far the mention is explained by the form; a word left unexplained counts by its rarity."""
+    def score(self, query: list[str], loose: dict[str, float], form: list[str], weights: list[float]) -> float:
+        """0..1: how far the mention is explained by the form; ``loose`` is what each word weighs where it is left unexplained."""
         best = 0.0
         for words in self._joins(query, form):
             pairs = align(words, form, self.similarity)
@@ -169,17 +135,15 @@ class Scorer:
             for i, w in enumerate(words):
                 if i in got:
                     s, j = got[i]
-                    wt = self.weight(form[j]) if len(w) > 1 else 1.0
+                    wt = weights[j] if len(w) > 1 else 1.0
                     total += wt
                     explained += wt * (0.75 + 0.25 * s)
                 else:
-                    total += self.query_weight(w, common) if len(w) > 1 else 0.7
-            have = sum(self.weight(form[j]) for _, _, j in pairs)
-            need = sum(self.weight(t) if len(t) > 1 else 0.5 for t in form)
+                    total += loose[w]
+            have = sum(weights[j] for _, _, j in pairs)
+            need = sum(wt if len(t) > 1 else 0.5 for t, wt in zip(form, weights))
             cover_q, cover_e = explained / total if total else 0.0, have / need if need else 0.0
             best = max(best, cover_q * (0.75 + 0.25 * min(1.0, cover_e)))
-        if legal and form_legal and legal != form_legal:
-            best -= 0.06
         return best
 
     @staticmethod
@@ -202,99 +166,97 @@ def link_names(
     alias_col: str = "aliases",
     threshold: float = 0.8,
     margin: float = 0.01,
+    nicknames: dict[str, list[str]] | None = None,
+    legal_forms: dict[str, str] | None = None,
 ) -> DataFrame:
     """Each distinct mention that names an entity: ``mention_col, id_col, score``; two equally good entities are none.
 
+    ``nicknames`` (given name -> short forms) and ``legal_forms`` (spelling -> short form) default to the lists above.
     Null and blank mentions and names link to nothing; entities given twice count once, an id with several names keeps them
     all; empty tables give an empty result. Mentions are made distinct first, then their words, so that neither a name nor a
-    word that a third of all rows hold is looked up more than once. Words of more than COMMON entities are no keys, so no key
-    meets more than COMMON entities; whole joined names are keys besides.
+    word that a third of all rows hold is looked up more than once; words that many entities share are looked up in pairs.
+    A mention is found by a word spelt within the edits allowed, by a nickname or an abbreviation of three letters or more,
+    by all its letters joined, or, if it is nothing else, by initials.
     """
+    nicknames, legal_forms = NICKNAMES if nicknames is None else nicknames, LEGAL if legal_forms is None else legal_forms
+    spellings = {k: list(v) for k, v in nicknames.items()}
+    for short, full in IRREGULAR.items():
+        spellings.setdefault(full, []).append(short)
     forms = entities.select(F.col(id_col).cast("string").alias("eid"), F.explode(F.concat(F.array(name_col), F.coalesce(alias_col, F.array().cast("array<string>")))).alias("form"))
-    forms = materialise(forms.filter(F.col("form").isNotNull() & (F.trim("form") != "")).distinct(), "forms")
+    forms = forms.filter(F.col("eid").isNotNull() & F.col("form").isNotNull() & (F.trim("form") != "")).distinct()
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = NameParser(legal_forms)
         for b in batches:
-            out: list[tuple] = []
-            for eid, form in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words, _ = parse_name(form)
-                if not words:
-                    continue
-                out += [(eid, w, "word") for w in set(words)]
-                out.append((eid, "".join(words), "whole"))
-                if len(words) > 1:
-                    out.append((eid, initials(words), "initials"))
-            cols = list(zip(*out)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["eid", "word", "kind"])
-
-    words = materialise(forms.mapInArrow(index, "eid string, word string, kind string").distinct(), "name-words")
-    counts = materialise(words.filter("kind = 'word'").groupBy("word").agg(F.count_distinct("eid").alias("df")), "word-counts")
-    keyed = words.join(counts, "word", "left").filter((F.col("kind") != "word") | ((F.col("df") <= COMMON) & (F.length("word") > 1)))
-    keyed = keyed.select("eid", "word", (F.col("kind") == "initials").alias("exact")).distinct()
-
-    mention = F.col(mention_col)
-    distinct = materialise(mentions.select(mention.alias("mention")).filter("mention is not null and trim(mention) <> ''").distinct(), "mentions")
+            got = [parser.parse(f) for f in b.column("form").to_pylist()]
+            legal = pa.array([g[1] for g in got], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("eid"), b.column("fid"), pa.array([g[0] for g in got], pa.list_(pa.string())), legal], names=["eid", "fid", "parts", "legal"])
+
+    parsed = forms.select("eid", F.xxhash64("form").alias("fid"), "form").mapInArrow(parse, "eid string, fid bigint, parts array<string>, legal string")
+    parsed = materialise(parsed.filter(F.size("parts") > 0), "forms")
+    whole = F.when(F.size("parts") > 1, F.array(F.array_join("parts", ""))).otherwise(F.array().cast("array<string>"))
+    keyed = parsed.withColumn("words", F.array_distinct(F.concat("parts", whole)))
+    counts = materialise(keyed.select("eid", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("df")), "word-counts")
+    total = max(parsed.select("eid").distinct().count(), 2)
+    weight = lambda df: F.log(1 + F.lit(float(total)) / df)
+    each = parsed.select("eid", "fid", "legal", F.posexplode("parts").alias("i", "word")).join(counts, "word")
+    part = F.struct("i", "word", weight(F.col("df")).alias("wt"))
+    weighed = each.groupBy("eid", "fid", "legal").agg(F.array_sort(F.collect_list(part)).alias("p"), F.sum(F.when(F.length("word") > 1, weight(F.col("df"))).otherwise(0.5)).alias("need"))
+    weighed = materialise(weighed, "weighed-forms")
+
+    distinct = materialise(mentions.select(F.col(mention_col).alias("mention")).filter("mention is not null and trim(mention) <> ''").distinct(), "mentions")
 
     def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = NameParser(legal_forms)
         for b in batches:
-            out = []
-            for m in b.column(0).to_pylist():
-                ws, _ = parse_name(m)
-                out += [(m, w) for w in {w for w, _, _ in joined_words(ws)} | {"".join(ws)} if len(w) > 1]
-            cols = list(zip(*out)) if out else [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["mention", "q"])
-
-    parts = materialise(distinct.mapInArrow(take_apart, "mention string, q string"), "mention-words")
-
-    def keys(make, column):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                out = [(w, k) for w in b.column(0).to_pylist() for k in make(w)]
-                cols = list(zip(*out)) if out else [[], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=[column, "key"])
-
-        return run
-
-    targets = keyed.filter(~F.col("exact")).select("word").distinct().mapInArrow(keys(index_keys, "word"), "word string, key string")
-    probes = parts.select("q").distinct().mapInArrow(keys(probe_keys, "q"), "q string, key string")
-    met = probes.join(targets, "key").select("q", "word").distinct()
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [banded_distance(q, w, k) <= k for q, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k in (edits_allowed(len(w)),)]
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    near = met.mapInArrow(verify, "q string, word string")
-    by_word = parts.join(near, "q").join(keyed.filter(~F.col("exact")), "word").select("mention", "eid")
-    by_initials = parts.join(keyed.filter("exact").select("eid", F.col("word").alias("q")), "q").select("mention", "eid")
-    candidates = materialise(by_word.unionByName(by_initials).distinct(), "candidates")
-
-    # words of at least one entity in 50,000: at most 50,000 times the words of a name, however many entities; others count as rare
-    total = forms.select("eid").distinct().count()
-    common = [(r.word, r.df) for r in counts.filter(F.col("df") >= max(2, -(-total // 50_000))).collect()]
-    full = candidates.join(forms.groupBy("eid").agg(F.collect_set("form").alias("forms")), "eid")
+            out = [(m, at, end, q) for m in b.column(0).to_pylist() for q, at, end in joined_words(parser.parse(m)[0])]
+            cols = list(zip(*out)) if out else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.string()))], names=["mention", "at", "end", "q"])
+
+    parts = materialise(spread(distinct).mapInArrow(take_apart, "mention string, at int, end int, q string"), "mention-words")
+    words = counts.join(parsed.select(F.explode("parts").alias("word")).distinct().withColumn("single", F.lit(True)), "word", "left")
+    near = near_words(parts.select("q", (F.col("end") - F.col("at") == 1).alias("single")), words.select("word", F.coalesce("single", F.lit(False)).alias("single")), spellings, "near-names")
+    by_q = near.join(counts, "word").groupBy("q").agg(F.collect_list(F.struct(F.col("word").alias("w"), "df")).alias("near"), F.min("df").alias("least"), F.max("df").alias("most"))
+    own = counts.select(F.col("word").alias("q"), F.col("df").alias("own"))
+    rarest = F.lit(1)
+    loose = F.when(F.length("q") == 1, 0.7).otherwise(weight(F.coalesce("own", "most", rarest)))
+    most = F.when(F.length("q") == 1, 1.0).when(F.length("q") == 2, weight(rarest)).otherwise(F.coalesce(weight(F.col("least")), F.lit(0.0)))
+    token = F.struct("at", "end", "q", loose.alias("u"), most.alias("hi"), F.coalesce("near", F.array().cast("array<struct<w:string,df:bigint>>")).alias("near"))
+    tokens = materialise(parts.join(by_q, "q", "left").join(own, "q", "left").groupBy(F.col("mention").alias("query")).agg(F.collect_list(token).alias("tokens")), "mention-tokens")
+
+    by_word = candidates(tokens, keyed.select("eid", "fid", "words", "legal").join(weighed.select("eid", "fid", "need"), ["eid", "fid"]), 1 - threshold, "name-pairs")
+    first = F.array_join(F.transform("parts", lambda w: F.substring(w, 1, 1)), "")
+    short = parsed.filter(F.size("parts") > 1).select("eid", first.alias("q"), "legal").distinct()
+    short = short.withColumn("_r", F.row_number().over(Window.partitionBy("q", "legal").orderBy("eid"))).filter("_r <= 2").select("q", "eid")
+    alone = parts.groupBy("mention").agg(F.count_if(F.col("end") - F.col("at") == 1).alias("n"), F.min("q").alias("q")).filter("n = 1")
+    by_initials = alone.join(short, "q").select(F.col("mention").alias("query"), "eid")
+    pairs = materialise(by_word.unionByName(by_initials).distinct(), "candidates")
+
+    any_legal = F.coalesce("legal", F.min("legal").over(Window.partitionBy("eid")))
+    known = weighed.select("eid", F.array_join(F.transform("p", lambda x: x["word"]), " ").alias("form"), F.transform("p", lambda x: x["wt"]).alias("weights"), any_legal.alias("legal"))
+    asked = tokens.select("query", F.transform(F.array_sort(F.transform("tokens", lambda t: F.struct(t["at"].alias("at"), t["end"].alias("end"), t["u"].alias("u")))), lambda t: t["u"]).alias("loose"))
+    full = pairs.join(known, "eid").join(asked, "query").select("query", "eid", "form", "legal", "weights", "loose")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = Counter(dict(common))
-        known = [w for w, n in common if n > COMMON]
-        scorer = Scorer(df, total)
+        scorer, parser = Scorer(nicknames), NameParser(legal_forms)
         for b in batches:
             scores = []
-            for m, forms_ in zip(b.column("mention").to_pylist(), b.column("forms").to_pylist()):
-                q, legal = parse_name(m)
-                best = 0.0
-                parsed = [parse_name(f) for f in forms_]
-                legals = [x for _, x in parsed if x]
-                for ws, form_legal in parsed:
-                    form_legal = form_legal or (legals[0] if legals else None)
-                    if len(q) == 1 and len(ws) > 1 and q[0] == initials(ws):
-                        best = max(best, 0.9 - (0.06 if legal and form_legal and legal != form_legal else 0.0) + (0.02 if legal and legal == form_legal else 0.0))
-                    best = max(best, scorer.score(q, legal, ws, form_legal, known) + (0.005 if legal and legal == form_legal else 0.0))
-                scores.append(best)
-            yield pa.RecordBatch.from_arrays([b.column("mention"), b.column("eid"), pa.array(scores, pa.float64())], names=["mention", "eid", "score"])
-
-    judged = full.select("mention", "eid", "forms").mapInArrow(judge, "mention string, eid string, score double").filter(F.col("score") >= threshold)
-    top = judged.groupBy("mention").agg(F.max_by("eid", F.struct("score", "eid")).alias("eid"), F.max("score").alias("score"), F.collect_list("score").alias("all"))
-    second = F.coalesce(F.element_at(F.sort_array("all", asc=False), F.when(F.size("all") > 1, F.lit(2)).otherwise(F.lit(1))), F.lit(0.0))
-    clear = (F.size("all") == 1) | (F.col("score") - second >= margin)
-    return top.filter(clear).select(F.col("mention").alias(mention_col), F.col("eid").alias(id_col), "score")
+            rows = zip(*(b.column(c).to_pylist() for c in ("query", "form", "legal")), _lists(b.column("weights")), _lists(b.column("loose")))
+            for m, form, form_legal, weights, loose in rows:
+                q, legal = parser.parse(m)
+                words = form.split(" ")
+                same, other = bool(legal) and legal == form_legal, bool(legal and form_legal) and legal != form_legal
+                s = scorer.score(q, {w: u for (w, _, _), u in zip(sorted(joined_words(q), key=lambda t: t[1:]), loose)}, words, weights)
+                s += 0.005 * same - 0.06 * other
+                if len(q) == 1 and len(words) > 1 and q[0] == initials(words):
+                    s = max(s, 0.9 - 0.06 * other + 0.02 * same)
+                scores.append(s)
+            yield pa.RecordBatch.from_arrays([b.column("query"), b.column("eid"), pa.array(scores, pa.float64())], names=["mention", "eid", "score"])
+
+    judged = spread(full).mapInArrow(judge, "mention string, eid string, score double").filter(F.col("score") >= threshold)
+    judged = judged.groupBy("mention", "eid").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("mention").orderBy(F.desc("score"), F.desc("eid"))
+    two = judged.withColumn("_r", F.row_number().over(order)).filter("_r <= 2")
+    top = two.groupBy("mention").agg(F.max_by("eid", -F.col("_r")).alias("eid"), F.max("score").alias("score"), F.min("score").alias("next"), F.count("*").alias("n"))
+    clear = (F.col("n") == 1) | (F.col("score") - F.col("next") >= margin)
+    return top.filter(clear).select(F.col("mention").alias(mention_col), F.col("eid").cast(entities.schema[id_col].dataType).alias(id_col), "score")

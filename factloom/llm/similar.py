@@ -21,6 +21,15 @@ def edits_allowed(n: int) -> int:
     return 0 if n <= 3 else 1 if n <= 5 else 2 if n <= 9 else 3
 
 
+@lru_cache(maxsize=1 << 18)
+def letters(word: str) -> int:
+    """The letters of a word, one bit each (unusual ones share bits)."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
 def banded_distance(a: str, b: str, k: int) -> int:
     """Edit distance with transpositions of neighbours, within the band of ``k``; ``k + 1`` where it is larger."""
     if a == b:
@@ -28,6 +37,9 @@ def banded_distance(a: str, b: str, k: int) -> int:
     n, m = len(a), len(b)
     if abs(n - m) > k:
         return k + 1
+    x, y = letters(a), letters(b)
+    if (x & ~y).bit_count() > k or (y & ~x).bit_count() > k:  # each letter only one side has takes an edit
+        return k + 1
     far = k + 1
     before, last = None, [j if j <= k else far for j in range(m + 1)]
     for i in range(1, n + 1):

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from factloom.llm import leak, lines, names, neighbours, packing, similar, spans, split, vocabulary
+from factloom.llm import leak, lines, names, neighbours, packing, similar, spans, split, vocabulary, wordjoin
 
 # 3 ---------------------------------------------------------------------------------------------------------------------
 
@@ -210,7 +210,7 @@ def test_segments_find_every_variant(word, edits):
             w[at : at + 1] = [c] if op == "s" else []
     q = "".join(w)
     if q:
-        assert set(names.probe_keys(q)) & set(names.index_keys(word))
+        assert set(wordjoin.probe_keys(q)) & set(wordjoin.index_keys(word))
 
 
 @settings(max_examples=300, deadline=None)
@@ -241,6 +241,49 @@ def test_names(spark):
     assert names.link_names(m.limit(0), "subject_raw", e).count() == 0 and names.link_names(m, "subject_raw", e.limit(0)).count() == 0
 
 
+def grid(n, seed):
+    """Every given name of ``n`` with every surname of ``n``: each word is shared by ``n`` persons, and no person has a rare one."""
+    rng = np.random.default_rng(seed)
+    part = lambda: "".join(rng.choice(list("bcdfglmnprstv")) + rng.choice(list("aeiou")) for _ in range(4))
+    surnames = [(part() + rng.choice(list("kxz"))).capitalize() for _ in range(n)]
+    given = [g.capitalize() for g, v in names.NICKNAMES.items() if any(sum(x in y for y in names.NICKNAMES.values()) == 1 for x in v)][:n]
+    given += [part().capitalize() for _ in range(n - len(given))]
+    return [(f"{i:03d}.{j:03d}", f"{g} {s}") for i, g in enumerate(given) for j, s in enumerate(surnames)]
+
+
+@pytest.mark.parametrize("hot", [4, 64])  # both sides of the bound
+def test_names_of_common_words_only(spark, monkeypatch, hot):
+    monkeypatch.setattr(wordjoin, "HOT", hot)
+    people = grid(14, 3)
+    e = spark.createDataFrame([(i, n, None) for i, n in people], "entity_id string, canonical_name string, aliases array<string>")
+    want = {}
+    for k, (i, n) in enumerate(people[::2]):
+        g, s = n.split()
+        nick = next(x for x in names.NICKNAMES[g.lower()] if sum(x in y for y in names.NICKNAMES.values()) == 1)
+        want[[f"{s}, {g}", f"{nick.capitalize()} {s}", f"{g} {s[:3]}{s[4:]}", f"Dr. {g[:4]}{g[5:]} {s}"][k % 4]] = i
+    m = spark.createDataFrame([(k,) for k in want], "m string")
+    got = {r.m: r.entity_id for r in names.link_names(m, "m", e).collect()}
+    right = sum(got.get(k) == v for k, v in want.items())
+    assert right >= 0.9 * len(want) and sum(got[k] != want[k] for k in got) <= 0.02 * len(want)
+    plain = {r.m for r in names.link_names(m, "m", e, nicknames={}).collect()}
+    assert len(plain) < len(got)
+
+
+def test_lookups_do_not_depend_on_hot(spark, monkeypatch, rows):
+    """Candidates behind common words, pairs and triples: the entity meant is among them, whatever counts as common."""
+    rng = np.random.default_rng(9)
+    word = [f"word{c}" for c in "abcdefgh"]
+    forms = {tuple(sorted(rng.choice(word, 4, replace=False))) for _ in range(60)}
+    held = [(f"e{i}", i, list(f), 4.0, None) for i, f in enumerate(sorted(forms))]
+    f = spark.createDataFrame(held, "eid string, fid bigint, words array<string>, need double, legal string")
+    token = lambda j, w: (j, j + 1, w, 1.0, 1.0, [(w, 30)])
+    q = spark.createDataFrame([(h[0], [token(j, w) for j, w in enumerate(h[2])]) for h in held], f"query string, tokens {wordjoin.TOKENS}")
+    for hot in (1, 3, 1000):
+        monkeypatch.setattr(wordjoin, "HOT", hot)
+        got = set(rows(wordjoin.candidates(q, f, 0.2, "t")))
+        assert {(h[0], h[0]) for h in held} <= got
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -253,16 +296,29 @@ def test_vocabulary(spark):
     v = spark.createDataFrame([(k,) for k in want] * 2, "predicate string").withColumn("how", F.lit(1))
     got = {r.predicate: r.predicate_canonical for r in vocabulary.map_values(v, "predicate", reg, "predicate_canonical", "al").collect()}
     assert got == want
-    few, vocabulary.ENTRIES = vocabulary.ENTRIES, 2
-    try:
-        again = {r.predicate: r.predicate_canonical for r in vocabulary.map_values(v, "predicate", reg, "predicate_canonical", "al").collect()}
-    finally:
-        vocabulary.ENTRIES = few
-    assert again == want
+    for size in (1, 2):
+        assert {r.predicate: r.predicate_canonical for r in vocabulary.map_values(v, "predicate", reg, "predicate_canonical", "al", entries_per_shard=size).collect()} == want
     assert vocabulary.map_values(v.limit(0), "predicate", reg, "predicate_canonical").count() == 0
     assert {r.predicate_canonical for r in vocabulary.map_values(v, "predicate", reg.limit(0), "predicate_canonical").collect()} == {"unmatched"}
 
 
+def test_vocabulary_ties_across_shards(spark):
+    """Rivals and longer mentions count wherever their shard is."""
+    reg = spark.createDataFrame([("net debt total",), ("net debts total",), ("debt",), ("total net debt ratio",), ("xylophone",), ("a rare thing",)], "n string")
+    v = spark.createDataFrame([("net debtt total",), ("the total net debt ratio",), ("zlyophone",), ("xlyophone",), ("debt of the",), ("debt and xylophone",)], "v string")
+    got = [sorted((r.v, r.n, r.how) for r in vocabulary.map_values(v, "v", reg, "n", entries_per_shard=size).collect()) for size in (1, 2, 100)]
+    assert got[0] == got[1] == got[2]
+    named = {a: b for a, b, _ in got[0]}
+    assert named == {"net debtt total": "unmatched", "the total net debt ratio": "total net debt ratio", "zlyophone": "xylophone", "xlyophone": "xylophone", "debt of the": "debt", "debt and xylophone": "unmatched"}
+
+
+def test_chosen_mention():
+    text = " the total net debt of it "
+    assert vocabulary.chosen(" the net debt ", [(4, 14, "net debt"), (8, 14, "debt")]) == "net debt"
+    assert vocabulary.chosen(text, [(10, 20, "net debt")]) is None
+    assert vocabulary.chosen(" debt equity ", [(0, 6, "debt"), (5, 13, "equity")]) is None
+
+
 # 1 ---------------------------------------------------------------------------------------------------------------------
 
 
