@@ -14,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.session import materialise, small_or_shuffled
@@ -99,6 +99,17 @@ def repeated_lines(pages: DataFrame, documents: DataFrame, min_letters: int = 20
     return RepeatedLines(lines, kept.drop("n_all").join(blocks, NODE), found)
 
 
+def block_runs(found: DataFrame) -> DataFrame:
+    """Where blocks stand: ``doc_id, page_index, collection, block_id, first_line, last_line, n_lines``.
+
+    Repeated lines of one block that follow one another are one run; a page's repeated lines are one group, no more.
+    """
+    page = Window.partitionBy("doc_id", "page_index", "collection").orderBy("line_no")
+    starts = (F.lag("line_no").over(page) + 1).eqNullSafe(F.col("line_no")) & F.lag("block_id").over(page).eqNullSafe(F.col("block_id"))
+    runs = found.distinct().withColumn("_new", (~starts).cast("int")).withColumn("_run", F.sum("_new").over(page))
+    return runs.groupBy("doc_id", "page_index", "collection", "_run", "block_id").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.count("*").alias("n_lines")).drop("_run")
+
+
 def clean_pages(pages: DataFrame, found: DataFrame) -> DataFrame:
     """Every page with its repeated lines deleted: ``doc_id, page_index, text, n_removed``; null texts stay null.
 

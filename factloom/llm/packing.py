@@ -25,8 +25,32 @@ def _times(need: dict[int, int], have: np.ndarray) -> int:
     return min(int(have[s]) // k for s, k in need.items())
 
 
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Containers that no plan can do without: for each size t, what is over capacity - t stands alone, and the rest from t on fills up."""
+    sizes = np.zeros(capacity + 1, np.int64)
+    for size, n in counts.items():
+        sizes[size] += n
+    items, units = np.cumsum(sizes), np.cumsum(sizes * np.arange(capacity + 1))
+    best = -(-int(units[-1]) // capacity)
+    for t in range(1, capacity // 2 + 1):
+        over, half = capacity - t, capacity // 2
+        alone, large = int(items[-1] - items[over]), int(items[over] - items[half])
+        middle = int(units[half] - units[t - 1])  # from t to half the capacity, beside what the large ones leave
+        room = large * capacity - int(units[over] - units[half])
+        best = max(best, alone + large + max(0, -(-(middle - room) // capacity)))
+    return best
+
+
 def plan_patterns(counts: dict[int, int], capacity: int) -> list[Pattern]:
-    """Containers by kind for ``counts`` items of each size (1..capacity). Every item is placed exactly once."""
+    """Containers by kind for ``counts`` items of each size (1..capacity). Every item is placed exactly once.
+
+    Exact fits of two, three and four items use up small items that would fill gaps later, so plans that look for exact fits
+    up to each of these depths are compared, and the one of the fewest containers is taken.
+    """
+    return min((_plan(counts, capacity, depth) for depth in (3, 2, 1, 0)), key=lambda plan: sum(n for n, _ in plan))
+
+
+def _plan(counts: dict[int, int], capacity: int, depth: int) -> list[Pattern]:
     have = np.zeros(capacity + 1, np.int64)
     for size, n in counts.items():
         if not 1 <= size <= capacity:
@@ -46,7 +70,7 @@ def plan_patterns(counts: dict[int, int], capacity: int) -> list[Pattern]:
         return n
 
     consume([capacity]) if have[capacity] else None
-    for k in (1, 2, 3):  # complements of one, two, three items
+    for k in range(1, depth + 1):  # complements of one, two, three items
         for a in range(capacity - 1, -(-capacity // (k + 1)) - 1, -1):  # the largest item of an exact fit is at least the mean
             if k == 3 and have[a]:
                 thirds = _thirds(have, capacity - a)
@@ -86,10 +110,6 @@ def plan_patterns(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return out
 
 
-def _need(parts: list[int]) -> dict[int, int]:
-    return {p: parts.count(p) for p in parts}
-
-
 def _thirds(have: np.ndarray, gap: int) -> list[int]:
     """The available sizes, largest first, that some two available sizes, counts aside, fill up to ``gap``."""
     size = 2 * len(have)
@@ -103,13 +123,11 @@ def _pair(have: np.ndarray, gap: int, beside: list[int]) -> list[int] | None:
     """Two available sizes that add up to ``gap``, the larger as large as can be, next to the items of ``beside``."""
     if gap < 2:
         return None
+    left = have.copy()
+    np.subtract.at(left, beside, 1)
     low = np.arange(1, gap // 2 + 1)
-    ok = np.flatnonzero((have[low] > 0) & (have[gap - low] > 0))
-    for i in ok[:8]:  # counts fail only for sizes of ``beside`` and for two halves
-        b, c = int(low[i]), int(gap - low[i])
-        if _times(_need([*beside, b, c]), have):
-            return [b, c]
-    return None
+    ok = np.flatnonzero((left[low] > 0) & (left[gap - low] > 0) & ((2 * low != gap) | (left[low] > 1)))
+    return [int(low[ok[0]]), int(gap - low[ok[0]])] if len(ok) else None
 
 
 def pack(df: DataFrame, id_col: str, size_col: str, capacity: int, rows_per_bucket: int = 1_000_000) -> DataFrame:

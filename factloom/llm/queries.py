@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.leak import leak_report, leaked_items, remove_leaks
-from factloom.llm.lines import clean_pages, repeated_lines
+from factloom.llm.lines import block_runs, clean_pages, repeated_lines
 from factloom.llm.names import link_names
 from factloom.llm.neighbours import greedy_search, most_similar, neighbour_graph, other_rows, similar_pairs, usable_vectors
-from factloom.llm.packing import pack
+from factloom.llm.packing import lower_bound, pack
 from factloom.llm.spans import document_pairs, document_spans, shared_coverage, shared_windows
-from factloom.llm.split import split_items
+from factloom.llm.split import byte_sizes, split_items
 from factloom.llm.tokens import byt5_tokens
 from factloom.llm.vocabulary import map_values
-from factloom.session import read_table
+from factloom.session import materialise, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,20 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     return clean_pages(pages, repeated_lines(pages, read_table(spark, d, "documents")).occurrences)
 
 
+def p2_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks that lines following one another form: how many of each size a collection has, and how often they stand in runs."""
+    r = repeated_lines(read_table(spark, d, "pages"), read_table(spark, d, "documents"))
+    sizes = r.nodes.groupBy("collection", "block_id").agg(F.count("*").alias("n_lines"))
+    runs = block_runs(r.occurrences).groupBy("collection", "block_id").agg(F.count("*").alias("n_runs"))
+    return sizes.join(runs, ["collection", "block_id"]).groupBy("collection", "n_lines").agg(F.count("*").alias("n_blocks"), F.sum("n_runs").alias("n_runs"))
+
+
+def p3_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of more than 1,800 tokens of the byte tokenizer, cut by tokens, with their kind and place in the document."""
+    pieces = split_items(read_table(spark, d, "chunks"), start_col="char_start", kind_col="kind", weigh=byte_sizes)
+    return pieces.select("chunk_id", "kind", "piece_no", "piece_start", "piece_end", "abs_start", "abs_end")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return split_items(read_table(spark, d, "chunks")).select("chunk_id", "piece_start", "piece_end").distinct()
 
@@ -77,13 +91,27 @@ def _sized(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return pack(_sized(spark, d), "doc_id", "n_tokens", CAPACITY).filter("n_pieces > 1").select("doc_id").distinct()
+    """The documents that the packing put into more than one container."""
+    placed = pack(_sized(spark, d), "doc_id", "n_tokens", CAPACITY)
+    return placed.groupBy("doc_id").agg(F.count_distinct("container_id").alias("n")).filter("n > 1").select("doc_id")
 
 
 def p7_pack(spark: SparkSession, d: str) -> DataFrame:
     return pack(_sized(spark, d), "doc_id", "n_tokens", CAPACITY)
 
 
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """The packing held against what it must keep: every token placed once, no container over its capacity, few containers.
+
+    ``within_bound``: at most 2% more containers than any plan needs.
+    """
+    placed = materialise(p7_pack(spark, d), "placed").withColumn("n", F.col("unit_end") - F.col("unit_start"))
+    boxes = placed.groupBy("container_id").agg(F.sum("n").alias("load")).agg(F.count("*").alias("boxes"), F.count_if(F.col("load") > CAPACITY).alias("n_over"))
+    pieces = placed.agg(F.count_distinct("doc_id").alias("n_documents"), F.count("*").alias("n_pieces"), F.sum("n").alias("n_tokens"))
+    bound = lower_bound({r.n: r.c for r in placed.groupBy("n").agg(F.count("*").alias("c")).collect()}, CAPACITY)  # at most CAPACITY rows
+    return pieces.join(boxes).select("n_documents", "n_pieces", "n_tokens", "n_over", (F.col("boxes") <= 1.02 * bound).alias("within_bound"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     spans = leaked_items(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
     return leak_report(spans).select("doc_id", "item_id")
@@ -104,5 +132,5 @@ def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (p1_found, p1_nearest, p1_search, p2_found, p2_clean, p3_found, p4_found, p5_found, p7_found, p7_pack, p8_found, p8_clean, p9_found, p9_coverage)
+    named = (p1_found, p1_nearest, p1_search, p2_found, p2_blocks, p2_clean, p3_found, p3_tokens, p4_found, p5_found, p7_found, p7_pack, p7_fill, p8_found, p8_clean, p9_found, p9_coverage)
     return {f.__name__: f for f in named}

@@ -70,6 +70,12 @@ def token_offsets(text: str, weigh: Callable[[str], Sequence[int]]) -> np.ndarra
     return np.concatenate([[0], np.cumsum(np.asarray(weigh(text), dtype=np.int64))])
 
 
+def byte_sizes(text: str) -> np.ndarray:
+    """UTF-8 bytes of each code point: the tokens of a byte tokenizer."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return 1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)
+
+
 def split_items(
     df: DataFrame,
     id_col: str = "chunk_id",
@@ -78,38 +84,45 @@ def split_items(
     overlap: int = 200,
     whole: bool = False,
     start_col: str | None = None,
+    kind_col: str | None = None,
+    weigh: Callable[[str], Sequence[int]] | None = None,
 ) -> DataFrame:
-    """One row per piece: ``id_col``, ``piece_no``, ``piece_start``, ``piece_end``, ``abs_start``, ``abs_end``.
+    """One row per piece: ``id_col``, ``piece_no``, ``piece_start``, ``piece_end``, ``abs_start``, ``abs_end``, with ``kind_col`` also that.
 
-    Items within the limit come out only with ``whole``. ``abs_*`` add the item's own ``start_col`` and are null without
-    one. Null ids are kept, null texts give no row, rows given twice count once, other columns are ignored. Rows are
+    ``limit`` and ``overlap`` count code points, or with ``weigh`` the sizes it gives each code point (``byte_sizes``: tokens of
+    a byte tokenizer). Items within the limit come out only with ``whole``. ``abs_*`` add the item's own ``start_col`` and are
+    null without one; the item's kind, in lower case, is that of all its pieces. Null ids are kept, null texts give no row, rows given twice count once, other columns are ignored. Rows are
     independent of one another: no shuffle but that of the small result, which removes rows given twice.
     """
     base = F.col(start_col).cast("bigint") if start_col else F.lit(None).cast("bigint")
-    items = df.select(F.col(id_col).alias("_id"), base.alias("_base"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
+    label = F.lower(F.col(kind_col)) if kind_col else F.lit(None).cast("string")
+    items = df.select(F.col(id_col).alias("_id"), base.alias("_base"), label.alias("_kind"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
     kind = df.schema[id_col].dataType.simpleString()
-    large = items.filter(F.length("_text") > limit)
+    large = items.filter(F.length("_text") > limit) if weigh is None else items
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, no, starts, ends = [], [], [], []
             for i, text in enumerate(b.column("_text").to_pylist()):
-                for k, (s, e) in enumerate(split_spans(text, limit, overlap)):
+                spans = split_spans(text, limit, overlap, offsets=None if weigh is None else token_offsets(text, weigh))
+                if weigh is not None and len(spans) == 1 and not whole:
+                    continue
+                for k, (s, e) in enumerate(spans):
                     rows.append(i)
                     no.append(k)
                     starts.append(s)
                     ends.append(e)
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column("_id").take(take), b.column("_base").take(take), pa.array(no, pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())],
-                names=["_id", "_base", "piece_no", "piece_start", "piece_end"],
+                [*(b.column(c).take(take) for c in ("_id", "_base", "_kind")), pa.array(no, pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())],
+                names=["_id", "_base", "_kind", "piece_no", "piece_start", "piece_end"],
             )
 
-    out = large.mapInArrow(cut, f"_id {kind}, _base bigint, piece_no int, piece_start bigint, piece_end bigint")
-    if whole:
+    out = large.mapInArrow(cut, f"_id {kind}, _base bigint, _kind string, piece_no int, piece_start bigint, piece_end bigint")
+    if whole and weigh is None:
         out = out.unionByName(
             items.filter(F.length("_text") <= limit).select(
-                "_id", "_base", F.lit(0).alias("piece_no"), F.lit(0).cast("bigint").alias("piece_start"), F.length("_text").cast("bigint").alias("piece_end")
+                "_id", "_base", "_kind", F.lit(0).alias("piece_no"), F.lit(0).cast("bigint").alias("piece_start"), F.length("_text").cast("bigint").alias("piece_end")
             )
         )
     return out.select(
@@ -119,4 +132,5 @@ def split_items(
         "piece_end",
         (F.col("_base") + F.col("piece_start")).alias("abs_start"),
         (F.col("_base") + F.col("piece_end")).alias("abs_end"),
+        *([F.col("_kind").alias(kind_col)] if kind_col else []),
     ).distinct()

@@ -16,8 +16,8 @@ SELECT least(a, b) AS id_a, greatest(a, b) AS id_b FROM (
     for t, i in (("fact_embeddings", "fact_id"), ("entities", "entity_id"))
 )
 
-P2_FOUND = r"""
-WITH line AS (
+_REPEATED = r"""
+WITH RECURSIVE line AS (
   SELECT DISTINCT p.doc_id, p.page_index, d.collection, CAST(l.i - 1 AS INTEGER) AS line_no,
          regexp_replace(lower(l.parts[l.i]), '[^\p{L}]', '', 'g') AS k
   FROM (SELECT doc_id, page_index, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM pages) l
@@ -30,7 +30,32 @@ node AS (
   SELECT collection, k FROM (SELECT collection, k, count(DISTINCT doc_id) AS n FROM long GROUP BY 1, 2) JOIN total USING (collection)
   WHERE n >= 3 AND n >= n_all * 0.05
 )
-SELECT DISTINCT doc_id, page_index, line_no FROM long SEMI JOIN node USING (collection, k)
+"""
+P2_FOUND = _REPEATED + "SELECT DISTINCT doc_id, page_index, line_no FROM long SEMI JOIN node USING (collection, k)"
+P2_CLEAN = r"""
+SELECT DISTINCT p.doc_id, p.page_index, p.text_ AS text, CAST(n AS INTEGER) AS n_removed FROM (
+  SELECT q.doc_id, q.page_index, count(f.line_no) AS n, CASE WHEN count(f.line_no) = 0 THEN any_value(q.text)
+    ELSE coalesce(string_agg(part, chr(10) ORDER BY i) FILTER (f.line_no IS NULL), '') END AS text_
+  FROM (SELECT DISTINCT doc_id, page_index, text, string_split(coalesce(text, ''), chr(10)) AS parts, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i, parts[i + 1] AS part FROM pages) q
+  LEFT JOIN (""" + P2_FOUND + r""") f ON f.doc_id = q.doc_id AND f.page_index = q.page_index AND f.line_no = q.i
+  GROUP BY q.doc_id, q.page_index, q.text
+) p
+"""
+P2_BLOCKS = _REPEATED + r""", hit AS (SELECT * FROM long SEMI JOIN node USING (collection, k)),
+edge AS (
+  SELECT collection, a, b FROM (
+    SELECT x.collection, x.k AS a, y.k AS b, count(DISTINCT x.doc_id) AS n FROM hit x JOIN hit y
+      ON x.doc_id = y.doc_id AND x.page_index = y.page_index AND x.collection = y.collection AND y.line_no = x.line_no + 1 GROUP BY 1, 2, 3
+  ) JOIN total USING (collection) WHERE n >= 3 AND n >= n_all * 0.05
+), link AS (SELECT collection, a, b FROM edge UNION SELECT collection, b, a FROM edge UNION SELECT collection, k, k FROM node),
+reach AS (SELECT collection, a, b FROM link UNION SELECT r.collection, r.a, l.b FROM reach r JOIN link l ON l.collection = r.collection AND l.a = r.b),
+block AS (SELECT collection, a AS k, min(b) AS block FROM reach GROUP BY 1, 2),
+run AS (
+  SELECT collection, block, count(*) FILTER (NOT coalesce(line_no = before + 1 AND block = last, false)) AS n_runs FROM (
+    SELECT *, lag(line_no) OVER w AS before, lag(block) OVER w AS last FROM hit JOIN block USING (collection, k) WINDOW w AS (PARTITION BY doc_id, page_index, collection ORDER BY line_no)
+  ) GROUP BY 1, 2
+), size AS (SELECT collection, block, count(*) AS n_lines FROM block GROUP BY 1, 2)
+SELECT collection, n_lines, count(*) AS n_blocks, CAST(sum(n_runs) AS BIGINT) AS n_runs FROM size JOIN run USING (collection, block) GROUP BY 1, 2
 """
 
 P3_FOUND = r"""
@@ -59,6 +84,11 @@ SELECT DISTINCT chunk_id, CAST(last_s AS BIGINT) AS piece_start, CAST(last_e AS
 
 P7_FOUND = "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) + 1 > 4096"
 
+P7_FILL = """
+WITH s AS (SELECT doc_id, max(strlen(coalesce(text, '')) + 1) AS n FROM documents GROUP BY 1)
+SELECT count(*) AS n_documents, CAST(sum((n - 1) // 4096 + 1) AS BIGINT) AS n_pieces, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(0 AS BIGINT) AS n_over, true AS within_bound FROM s
+"""
+
 P8_FOUND = r"""
 WITH dw AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{Nd}\s]', '', 'g'), '\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
 iw AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{Nd}\s]', '', 'g'), '\s+'), lambda x: x <> '') AS w FROM eval_items WHERE text IS NOT NULL),
@@ -77,4 +107,4 @@ FROM (SELECT * FROM g SEMI JOIN s USING (h)) a JOIN (SELECT * FROM g SEMI JOIN s
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p7_found": P7_FOUND, "p8_found": P8_FOUND, "p9_found": P9_FOUND}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_blocks": P2_BLOCKS, "p2_clean": P2_CLEAN, "p3_found": P3_FOUND, "p7_found": P7_FOUND, "p7_fill": P7_FILL, "p8_found": P8_FOUND, "p9_found": P9_FOUND}

@@ -10,6 +10,6 @@ def test_found_equals_sql(spark, name):
     same(spark, SF, queries.queries()[name], sql.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", ["p2_clean", "p4_found", "p5_found", "p7_pack", "p8_clean", "p9_coverage"])
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(sql.oracle_sql()) - {"p1_nearest", "p1_search"}))
 def test_query_runs(spark, name):
     assert queries.queries()[name](spark, SF).count() > 0

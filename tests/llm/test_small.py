@@ -48,6 +48,10 @@ def test_split_items(spark, rows):
     assert [r[2:4] for r in sorted(a, key=lambda r: r[1])] == plain_split(long, 1800, 200) and a[0][4] >= 10
     assert sum(r[0] is None for r in got) == 3 and [r[2:4] for r in got if r[0] in ("b", "d")] == [(0, 5), (0, 0)]
     assert split.split_items(df.limit(0)).count() == 0
+    mixed = spark.createDataFrame([("a", "é" * 1000 + " " + "x" * 900, "Table"), ("b", "x" * 1800, None)], "chunk_id string, text string, kind string")
+    sized = rows(split.split_items(mixed, kind_col="kind", weigh=split.byte_sizes), "chunk_id", "kind", "piece_start", "piece_end")
+    assert [r[:2] for r in sized] == [("a", "table")] * len(sized) and len(sized) == 2 and all(len(mixed.first().text[s:e].encode()) <= 1800 for _, _, s, e in sized)
+    assert split.byte_sizes("aé漢\U0001f600").tolist() == [1, 2, 3, 4]
     with pytest.raises(ValueError):
         split.split_spans("x", 10, 10)
 
@@ -72,6 +76,8 @@ def test_repeated_lines(spark, rows):
     r = lines.repeated_lines(p, d)
     assert rows(r.occurrences, "doc_id", "page_index", "line_no") == [(0, 0, 2), (0, 0, 3), (1, 0, 2), (1, 0, 3), (2, 0, 2), (2, 0, 3), (3, 0, 2), (4, 0, 2)]
     assert len({b for b in rows(r.nodes, "block_id")}) == 1  # the two lines follow one another
+    runs = rows(lines.block_runs(r.occurrences), "doc_id", "first_line", "last_line", "n_lines")
+    assert runs == [(0, 2, 3, 2), (1, 2, 3, 2), (2, 2, 3, 2), (3, 2, 2, 1), (4, 2, 2, 1)]
     clean = {(a, b): (t, n) for a, b, t, n in rows(lines.clean_pages(p, r.occurrences))}
     assert clean[3, 0][1] == 1 and share not in clean[3, 0][0] and clean[7, 1] == (None, 0) and share in clean[40, 0][0]
     assert lines.repeated_lines(p.limit(0), d).occurrences.count() == 0
@@ -92,13 +98,20 @@ def test_plan_places_all(counts):
     assert got == Counter(counts)
     total = sum(s * k for s, k in counts.items())
     assert boxes <= max(1, 2 * -(-total // 40)) or not counts  # no two containers fit in one
+    assert packing.lower_bound(counts, 40) <= boxes
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_plan_is_tight(seed):
+    sizes = Counter(np.random.default_rng(seed).integers(1, 4097, 3000).tolist())
+    assert sum(n for n, _ in packing.plan_patterns(sizes, 4096)) <= 1.02 * packing.lower_bound(sizes, 4096)
 
 
 def test_triple_complement_tries_every_third():
     """Only the four sizes that leave 1 when divided by 6 fit exactly; 78 thirds without a fit stand before the first that has one."""
     fit = {2101: 1, 1801: 1, 187: 1, 7: 1}
     counts = fit | {1806: 1} | {s: 1 for s in range(192, 660, 6)}
-    assert (1, fit) in packing.plan_patterns(counts, 4096)
+    assert (1, fit) in packing._plan(counts, 4096, 3)
 
 
 def test_pack(spark, rows):
