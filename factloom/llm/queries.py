@@ -12,7 +12,7 @@ from factloom.llm.lines import block_runs, clean_pages, repeated_lines
 from factloom.llm.names import link_names
 from factloom.llm.neighbours import greedy_search, most_similar, neighbour_graph, other_rows, similar_pairs, usable_vectors
 from factloom.llm.packing import lower_bound, pack
-from factloom.llm.spans import document_pairs, document_spans, shared_coverage, shared_windows
+from factloom.llm.spans import document_groups, document_pairs, document_spans, shared_coverage, shared_windows
 from factloom.llm.split import byte_sizes, split_items
 from factloom.llm.tokens import byt5_tokens
 from factloom.llm.vocabulary import map_values
@@ -131,6 +131,12 @@ def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
     return shared_coverage(document_spans(shared_windows(docs), docs), documents=docs)
 
 
+def p9_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of equal texts and the number of groups each document shares stretches in, linear in the documents."""
+    docs = read_table(spark, d, "documents")
+    return document_groups(shared_windows(docs), docs)
+
+
 def queries() -> dict[str, Query]:
-    named = (p1_found, p1_nearest, p1_search, p2_found, p2_blocks, p2_clean, p3_found, p3_tokens, p4_found, p5_found, p7_found, p7_pack, p7_fill, p8_found, p8_clean, p9_found, p9_coverage)
+    named = (p1_found, p1_nearest, p1_search, p2_found, p2_blocks, p2_clean, p3_found, p3_tokens, p4_found, p5_found, p7_found, p7_pack, p7_fill, p8_found, p8_clean, p9_found, p9_coverage, p9_groups)
     return {f.__name__: f for f in named}

@@ -5,10 +5,13 @@
    passages; only hashes are shuffled for this.
 2. The passages' strings are compiled into Aho-Corasick automata, sharded by the text they come from, and every text with
    a recurring anchor is streamed through the shards its passages belong to. A shard's texts are salted over several
-   tasks, and read one at a time.
-3. Each window of ``min_chars`` whose anchor is a located passage gives its own hash; equal hashes are shared stretches.
-   This is exact down to ``min_chars``, and linear in the text: pairs are built only of texts that share such a window.
+   tasks, and read one at a time. Every occurrence is located, and its whole string compared with the passage's.
+3. Each window of ``min_chars`` around a located occurrence gives a 128-bit digest of its own text; windows of one digest
+   are one stretch. This is exact down to ``min_chars``, and linear in the text.
 
+A text without a recurring anchor shares nothing: two texts that share a stretch have all its windows alike, so the same
+anchors are picked in both. Texts that share a window are a group; groups are told apart by sums of hashes of their texts,
+so no group is ever collected, and texts that share many windows with the same others are one row of a group.
 Exact copies are one text from the start; they are expanded at the end.
 """
 
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +30,6 @@ from factloom.session import materialise, small_or_shuffled
 
 #: Passages in one automaton (of PATTERN code points each), and texts streamed through one task's copy of it.
 SHARD_PASSAGES, SHARD_TEXTS, PATTERN = 20_000, 5_000, 40
-#: Texts that may share one window before its pairs are built by a join instead of from a collected set.
-SET_LIMIT = 1_000
 #: Code points hashed at once.
 BLOCK = 1 << 19
 
@@ -127,7 +129,7 @@ def _blocks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 class SharedSpans:
     members: DataFrame  # _id, t1, t2: documents of at least min_chars, and their text's key
     texts: DataFrame  # tid, t1, t2: the texts that share a passage with another one
-    windows: DataFrame  # g, tid, pos, hot: windows whose anchor is a recurring passage
+    windows: DataFrame  # g1, g2, tid, pos: windows around an occurrence of a recurring passage, by their digest
 
 
 def shared_windows(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 400, gram: int = 256) -> SharedSpans:
@@ -161,81 +163,95 @@ def shared_windows(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     hits = hits.join(cand.select("t1", "t2", "tid"), ["t1", "t2"]).select("h", "tid", "pos")
     n_passages = recurring.count()
     shards = max(1, -(-n_passages // SHARD_PASSAGES))
-    source = hits.groupBy("h").agg(F.min("tid").alias("src"), F.count("*").alias("n_texts"))
+    source = hits.groupBy("h").agg(F.min("tid").alias("src"))
     passages = source.withColumn("shard", F.pmod(F.xxhash64("src"), F.lit(shards)).cast("int"))
     routed = materialise(hits.join(passages, "h").withColumn("first", F.col("tid") == F.col("src")), "routed")
-    pattern = F.substring("text", F.col("pos") + 1 + (gram - PATTERN) // 2, F.lit(PATTERN))
-    strings = routed.filter("first").join(cand, "tid").select("shard", "h", pattern.alias("body"), (F.col("n_texts") > SET_LIMIT).alias("hot"))
+    strings = routed.filter("first").join(cand, "tid").select("shard", F.substring("text", F.col("pos") + 1, F.lit(gram)).alias("body"))
     routes = routed.select("tid", "shard").distinct()
     salts = routes.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_TEXTS).cast("int").alias("n_salts"))
-    none = F.lit(None)
     docs = (
         routes.join(salts, "shard")
         .join(cand, "tid")
-        .select("shard", F.pmod(F.xxhash64("tid"), "n_salts").cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("tid").alias("key"), F.col("text").alias("body"), none.cast("boolean").alias("hot"))
-    )
-    words = strings.join(salts, "shard").select(
-        "shard", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("h").alias("key"), "body", "hot"
+        .select("shard", F.pmod(F.xxhash64("tid"), "n_salts").cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("tid").alias("key"), F.col("text").alias("body"))
     )
+    words = strings.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("key"), "body")
     stream = words.unionByName(docs).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    width = min_chars - gram + 1
+    skip = (gram - PATTERN) // 2
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        at, auto, hot, fresh = None, None, set(), False
+        at, held, auto, fresh = None, {}, None, False
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for shard, salt, kind, key, body, is_hot in zip(*(b.column(c).to_pylist() for c in ("shard", "salt", "kind", "key", "body", "hot"))):
+            for shard, salt, kind, key, body in zip(*(b.column(c).to_pylist() for c in ("shard", "salt", "kind", "key", "body"))):
                 if (shard, salt) != at:
-                    at, auto, hot, fresh = (shard, salt), {}, set(), True
+                    at, held, auto, fresh = (shard, salt), {}, None, True
                 if kind == 0:
-                    auto.setdefault(body, set()).add(key)
-                    if is_hot:
-                        hot.add(key)
+                    held.setdefault(body[skip : skip + PATTERN], set()).add(body)
                     continue
                 if fresh:
-                    built, fresh = ahocorasick.Automaton(), False
-                    for p, hs in auto.items():
-                        built.add_word(p, hs)
-                    built.make_automaton()
-                    auto = built
-                found = set()
-                hashes = Hashes(codes_of([body]))
-                h = hashes.grams(gram)
-                signed = h.view(np.int64)
-                for end, hs in auto.iter(body):
-                    i = end - PATTERN + 1 - (gram - PATTERN) // 2
-                    if 0 <= i < len(h) and int(signed[i]) in hs:
-                        found.add(int(signed[i]))
-                if not found:
+                    auto, fresh = ahocorasick.Automaton(), False
+                    for p, whole in held.items():
+                        auto.add_word(p, whole)
+                    auto.make_automaton()
+                near = np.zeros(len(body) + 1, np.int32)
+                for end, whole in auto.iter(body):
+                    i = end + 1 - PATTERN - skip
+                    if i >= 0 and body[i : i + gram] in whole:
+                        near[max(0, i + gram - min_chars)] += 1
+                        near[i + 1] -= 1
+                pos = np.flatnonzero(np.cumsum(near[: len(body) - min_chars + 1]) > 0)
+                if not len(pos):
                     continue
-                low = window_minima(h, width).view(np.int64)
-                pos = np.flatnonzero(np.isin(low, np.fromiter(found, np.int64, len(found))))
-                g = hashes.grams(min_chars).view(np.int64)[pos]
-                out[0].append(g)
-                out[1].append(np.full(len(pos), key, np.int64))
-                out[2].append(pos.astype(np.int32))
-                out[3].append(np.isin(low[pos], np.fromiter(hot, np.int64, len(hot))) if hot else np.zeros(len(pos), bool))
+                data = memoryview(body.encode("utf-32-le", "surrogatepass"))
+                g = np.frombuffer(b"".join(blake2b(data[4 * p : 4 * (p + min_chars)], digest_size=16).digest() for p in pos.tolist()), np.int64).reshape(-1, 2)
+                for o, x in zip(out, (g[:, 0], g[:, 1], np.full(len(pos), key, np.int64), pos.astype(np.int32))):
+                    o.append(x)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["g", "tid", "pos", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["g1", "g2", "tid", "pos"])
 
-    windows = materialise(stream.mapInArrow(locate, "g bigint, tid bigint, pos int, hot boolean"), "windows")
+    windows = materialise(stream.mapInArrow(locate, "g1 bigint, g2 bigint, tid bigint, pos int").distinct() if shards > 1 else stream.mapInArrow(locate, "g1 bigint, g2 bigint, tid bigint, pos int"), "windows")
     return SharedSpans(members, cand.select("tid", "t1", "t2"), windows)
 
 
+def text_groups(shared: SharedSpans) -> DataFrame:
+    """Materialised ``n, ga, gb, tid``: the different sets of texts that share a window, each set once, a row a text.
+
+    A set is known by its size and two sums of its texts' hashes, pre-aggregated before the shuffle.
+    """
+    w = shared.windows.select("g1", "g2", "tid").distinct()
+    hashed = w.withColumns({"a": F.xxhash64("tid").cast("decimal(20,0)"), "b": F.xxhash64("tid", F.lit(7)).cast("decimal(20,0)")})
+    sets = hashed.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.sum("a").alias("ga"), F.sum("b").alias("gb")).filter("n > 1")
+    one = sets.groupBy("n", "ga", "gb").agg(F.min(F.struct("g1", "g2")).alias("g")).select("n", "ga", "gb", "g.g1", "g.g2")
+    return materialise(w.join(small_or_shuffled(materialise(one, "text-sets")), ["g1", "g2"]).select("n", "ga", "gb", "tid"), "text-groups")
+
+
 def text_pairs(shared: SharedSpans) -> DataFrame:
-    """Pairs of different texts (``ta < tb``) that share a window: the repeated groups along a stretch collapse first."""
-    w = shared.windows
-    groups = w.filter(~F.col("hot")).groupBy("g").agg(F.sort_array(F.collect_set("tid")).alias("ts")).filter(F.size("ts") > 1).select("ts").distinct()
-    spread = groups.select("ts", F.posexplode("ts").alias("i", "ta")).select("ta", F.explode(F.expr("slice(ts, i + 2, size(ts))")).alias("tb"))
-    hot = w.filter("hot").select("g", "tid").distinct()
-    wide = hot.select("g", F.col("tid").alias("ta")).join(hot.select("g", F.col("tid").alias("tb")), "g").filter("ta < tb").select("ta", "tb")
-    return spread.unionByName(wide).distinct()
+    """Pairs of different texts (``ta < tb``) that share a window, from groups: many windows of the same texts are one."""
+    g = text_groups(shared)
+    return g.withColumnRenamed("tid", "ta").join(g.withColumnRenamed("tid", "tb"), ["n", "ga", "gb"]).filter("ta < tb").select("ta", "tb").distinct()
+
+
+def document_groups(shared: SharedSpans, documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row per document: ``id_col, class_id, n_copies, n_groups``, linear however many documents share a stretch.
+
+    ``class_id`` is the smallest id of the documents with the same text, ``n_copies`` their number, ``n_groups`` the number of
+    different sets of texts this one shares a window with. Documents that are too short or null are a class of their own.
+    """
+    per = text_groups(shared).groupBy("tid").agg(F.count("*").alias("n_groups"))
+    classes = shared.members.groupBy("t1", "t2").agg(F.min("_id").alias("class_id"), F.count("*").alias("n_copies"))
+    grouped = shared.texts.join(per, "tid").select("t1", "t2", "n_groups")
+    rows = shared.members.join(classes.join(grouped, ["t1", "t2"], "left"), ["t1", "t2"]).select(F.col("_id").alias(id_col), "class_id", "n_copies", F.coalesce("n_groups", F.lit(0)).alias("n_groups"))
+    every = documents.select(id_col).filter(F.col(id_col).isNotNull()).distinct().join(rows, id_col, "left")
+    return every.select(id_col, F.coalesce("class_id", id_col).alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_groups", F.lit(0)).alias("n_groups"))
 
 
 def document_pairs(shared: SharedSpans) -> DataFrame:
-    """``doc_a < doc_b``: all pairs of documents whose texts share a stretch, exact copies expanded."""
+    """``doc_a < doc_b``: all pairs of documents whose texts share a stretch, exact copies expanded.
+
+    This is the whole list, which grows with the square of what a group holds; ``document_groups`` has the same links linearly.
+    """
     m = shared.members
     owner = m.join(shared.texts, ["t1", "t2"]).select("tid", "_id")
     pairs = materialise(text_pairs(shared), "text-pairs")
@@ -251,8 +267,8 @@ def document_spans(shared: SharedSpans, documents: DataFrame, id_col: str = "doc
     from pyspark.sql import Window
 
     w = shared.windows
-    common = w.groupBy("g").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).filter("a <> b").select("g")
-    starts = w.join(common, "g", "left_semi").select("tid", "pos").distinct()
+    common = w.groupBy("g1", "g2").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).filter("a <> b").select("g1", "g2")
+    starts = w.join(common, ["g1", "g2"], "left_semi").select("tid", "pos").distinct()
     by = Window.partitionBy("tid").orderBy("pos")
     isle = starts.withColumn("new", (F.col("pos") - F.coalesce(F.lag("pos").over(by), F.lit(-(1 << 30))) > min_chars).cast("int")).withColumn("isle", F.sum("new").over(by))
     spans = isle.groupBy("tid", "isle").agg(F.min("pos").cast("bigint").alias("span_start"), (F.max("pos") + min_chars).cast("bigint").alias("span_end"))

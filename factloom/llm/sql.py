@@ -106,5 +106,23 @@ FROM (SELECT * FROM g SEMI JOIN s USING (h)) a JOIN (SELECT * FROM g SEMI JOIN s
 """
 
 
+_WINDOWS = r"""
+WITH t AS (SELECT text, min(doc_id) AS class_id, count(DISTINCT doc_id) AS n_copies FROM documents WHERE length(text) >= 400 GROUP BY 1),
+g AS (SELECT DISTINCT class_id, i, md5(substr(text, i, 400)) AS h FROM (SELECT class_id, text, unnest(range(1, length(text) - 398)) AS i FROM t)),
+s AS (SELECT h, list_sort(list(DISTINCT class_id)) AS texts FROM g GROUP BY 1 HAVING count(DISTINCT class_id) > 1)
+"""
+P9_COVERAGE = _WINDOWS + r""", hit AS (SELECT DISTINCT class_id, i FROM g SEMI JOIN s USING (h)),
+run AS (SELECT class_id, i, sum(fresh) OVER (PARTITION BY class_id ORDER BY i) AS r FROM (
+  SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY class_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM hit)),
+span AS (SELECT class_id, sum(n) AS n, count(*) AS k FROM (SELECT class_id, r, max(i) + 400 - min(i) AS n FROM run GROUP BY 1, 2) GROUP BY 1)
+SELECT d.doc_id, CAST(CASE WHEN n_copies > 1 THEN length(d.text) ELSE coalesce(n, 0) END AS BIGINT) AS shared_chars, CAST(CASE WHEN n_copies > 1 THEN 1 ELSE coalesce(k, 0) END AS BIGINT) AS n_spans
+FROM (SELECT DISTINCT doc_id, text FROM documents) d LEFT JOIN t USING (text) LEFT JOIN span USING (class_id)
+"""
+P9_GROUPS = _WINDOWS + r""", per AS (SELECT class_id, count(DISTINCT texts) AS n_groups FROM (SELECT texts, unnest(texts) AS class_id FROM s) GROUP BY 1)
+SELECT d.doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_copies, 1) AS n_copies, coalesce(n_groups, 0) AS n_groups
+FROM (SELECT DISTINCT doc_id, text FROM documents) d LEFT JOIN t USING (text) LEFT JOIN per USING (class_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_blocks": P2_BLOCKS, "p2_clean": P2_CLEAN, "p3_found": P3_FOUND, "p7_found": P7_FOUND, "p7_fill": P7_FILL, "p8_found": P8_FOUND, "p9_found": P9_FOUND}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_blocks": P2_BLOCKS, "p2_clean": P2_CLEAN, "p3_found": P3_FOUND, "p7_found": P7_FOUND, "p7_fill": P7_FILL, "p8_found": P8_FOUND, "p9_found": P9_FOUND, "p9_coverage": P9_COVERAGE, "p9_groups": P9_GROUPS}

@@ -189,11 +189,12 @@ def test_spans_against_brute_force(spark, rows):
     sh = spans.shared_windows(df, min_chars=40, gram=40)
     want = brute_pairs([d for d in docs if d[1]], 40)
     assert set(rows(spans.document_pairs(sh))) == want
-    loose, spans.SET_LIMIT = spans.SET_LIMIT, 2
+    assert set(rows(spans.document_pairs(spans.shared_windows(df, min_chars=50, gram=45)))) == brute_pairs([d for d in docs if d[1]], 50)
+    old, spans.SHARD_PASSAGES, spans.SHARD_TEXTS = (spans.SHARD_PASSAGES, spans.SHARD_TEXTS), 7, 5
     try:
         assert set(rows(spans.document_pairs(spans.shared_windows(df, min_chars=50, gram=45)))) == brute_pairs([d for d in docs if d[1]], 50)
     finally:
-        spans.SET_LIMIT = loose
+        spans.SHARD_PASSAGES, spans.SHARD_TEXTS = old
     cover = dict(rows(spans.shared_coverage(spans.document_spans(sh, df, min_chars=40)), "doc_id", "shared_chars"))
     text = dict(docs)
     for i, t in docs:
