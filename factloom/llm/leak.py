@@ -1,15 +1,17 @@
 """Held-out evaluation passages inside training documents.
 
 A generalised suffix automaton over the words of all items is sent to the executors; every document's words are streamed
-through it once, tracking the longest match that ends at each word. Items are held-out sets, so the automaton is small;
-its size is checked, and items beyond the bound go through further automata, one pass each.
+through it once, tracking the longest match that ends at each word. The automaton lies in flat arrays, about 140 bytes
+a word on each worker; its size is checked, and items beyond the bound go through further automata, one pass each, of which
+the driver builds and sends one at a time.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most words one automaton may hold (about 200 bytes a word on each executor).
+#: Most words one automaton may hold.
 WORDS_PER_AUTOMATON = 400_000
 
 _DROP = regex.compile(r"[^\p{L}\p{Nd}\s]+")
@@ -41,59 +43,108 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-@dataclass
 class SuffixAutomaton:
-    """Generalised suffix automaton over word ids; ``items[v]`` are the items that hold the phrases of state v."""
+    """Generalised suffix automaton over word ids, in flat arrays: most states go on by one word, the others keep the rest in ``more``.
 
-    vocab: dict[str, int] = field(default_factory=dict)
-    nxt: list[dict[int, int]] = field(default_factory=lambda: [{}])
-    link: list[int] = field(default_factory=lambda: [-1])
-    length: list[int] = field(default_factory=lambda: [0])
-    items: list[set] = field(default_factory=lambda: [set()])
+    After ``close``, ``sets[held[v]]`` are the items that hold the phrases of state v; equal sets are one object, so items that
+    share a long text cost no more than their words.
+    """
 
-    def _state(self, length: int, nxt: dict[int, int], link: int) -> int:
-        self.nxt.append(nxt)
-        self.link.append(link)
-        self.length.append(length)
-        self.items.append(set())
-        return len(self.nxt) - 1
+    def __init__(self):
+        self.vocab: dict[str, int] = {}
+        self.word, self.to, self.link, self.length = (array("i", [x]) for x in (-1, -1, -1, 0))
+        self.more: dict[int, dict[int, int]] = {}
+        self.names: list = []
+        self.ends = array("i"), array("i")  # state, item's number: a prefix of the item ends there
+
+    def step(self, v: int, w: int) -> int:
+        """The state that ``w`` leads to from ``v``, or -1."""
+        if self.word[v] == w:
+            return self.to[v]
+        return self.more[v].get(w, -1) if v in self.more else -1
+
+    def _set(self, v: int, w: int, to: int) -> None:
+        if self.word[v] in (-1, w):
+            self.word[v], self.to[v] = w, to
+        else:
+            self.more.setdefault(v, {})[w] = to
+
+    def _state(self, length: int, link: int) -> int:
+        for a, x in ((self.word, -1), (self.to, -1), (self.link, link), (self.length, length)):
+            a.append(x)
+        return len(self.link) - 1
 
     def _split(self, p: int, w: int, q: int) -> int:
-        clone = self._state(self.length[p] + 1, dict(self.nxt[q]), self.link[q])
-        while p >= 0 and self.nxt[p].get(w) == q:
-            self.nxt[p][w] = clone
+        clone = self._state(self.length[p] + 1, self.link[q])
+        self.word[clone], self.to[clone] = self.word[q], self.to[q]
+        if q in self.more:
+            self.more[clone] = dict(self.more[q])
+        while p >= 0 and self.step(p, w) == q:
+            self._set(p, w, clone)
             p = self.link[p]
         self.link[q] = clone
         return clone
 
     def add(self, item, words: list[str]) -> None:
-        last = 0
+        last, number = 0, len(self.names)
+        self.names.append(item)
         for word in words:
             w = self.vocab.setdefault(word, len(self.vocab))
-            p, q = last, self.nxt[last].get(w)
-            if q is not None:
+            p, q = last, self.step(last, w)
+            if q >= 0:
                 last = q if self.length[q] == self.length[p] + 1 else self._split(p, w, q)
             else:
-                last = self._state(self.length[p] + 1, {}, 0)
-                while p >= 0 and w not in self.nxt[p]:
-                    self.nxt[p][w] = last
+                last = self._state(self.length[p] + 1, 0)
+                while p >= 0 and (q := self.step(p, w)) < 0:
+                    self._set(p, w, last)
                     p = self.link[p]
                 if p >= 0:
-                    q = self.nxt[p][w]
                     self.link[last] = q if self.length[q] == self.length[p] + 1 else self._split(p, w, q)
-            self.items[last].add(item)
+            self.ends[0].append(last)
+            self.ends[1].append(number)
 
     def close(self, min_words: int) -> None:
         """Pass items down to the suffixes of their phrases, as far as these have ``min_words`` words."""
-        for v in sorted(range(1, len(self.link)), key=lambda x: -self.length[x]):
+        known: dict[frozenset, int] = {frozenset(): 0}
+        self.sets: list[frozenset] = [frozenset()]
+        self.held = array("i", bytes(4 * len(self.link)))
+        joined: dict[tuple[int, int], int] = {}
+
+        def number(s: frozenset) -> int:
+            if s not in known:
+                known[s] = len(self.sets)
+                self.sets.append(s)
+            return known[s]
+
+        def join(a: int, b: int) -> int:
+            if a == b or not b:
+                return a
+            if (a, b) not in joined:
+                joined[a, b] = number(self.sets[a] | self.sets[b])
+            return joined[a, b]
+
+        state, item = (np.frombuffer(x, np.int32) for x in self.ends)
+        order = np.lexsort((item, state))
+        state, item = state[order].tolist(), item[order].tolist()
+        at = 0
+        for v, same in itertools.groupby(state):
+            n = sum(1 for _ in same)
+            self.held[v] = number(frozenset(self.names[i] for i in set(item[at : at + n])))
+            at += n
+        self.ends = array("i"), array("i")
+        by_length = np.argsort(np.frombuffer(self.length, np.int32), kind="stable")[1:].tolist()
+        for v in reversed(by_length):
             if self.length[self.link[v]] >= min_words:
-                self.items[self.link[v]] |= self.items[v]
+                self.held[self.link[v]] = join(self.held[self.link[v]], self.held[v])
         # the shortest phrase of at least min_words words that ends where v's do: the most items
-        self.top = list(range(len(self.link)))
-        for v in sorted(range(1, len(self.link)), key=lambda x: self.length[x]):
+        self.top = array("i", range(len(self.link)))
+        for v in by_length:
             if self.length[self.link[v]] >= min_words:
                 self.top[v] = self.top[self.link[v]]
 
+    def items(self, v: int) -> frozenset:
+        return self.sets[self.held[v]]
+
     def matches(self, ids: np.ndarray, min_words: int) -> dict:
         """Item -> its matching spans [first word, end word); ids are -1 outside the vocabulary.
 
@@ -107,19 +158,19 @@ class SuffixAutomaton:
                 continue
             v = n = 0
             for i, w in enumerate(ids[s:e].tolist(), int(s)):
-                while v and w not in self.nxt[v]:
+                while (to := self.step(v, w)) < 0 and v:
                     v = self.link[v]
                     n = self.length[v]
-                if w in self.nxt[v]:
-                    v = self.nxt[v][w]
+                if to >= 0:
+                    v = to
                     n += 1
                 else:
-                    v = n = 0
+                    n = 0
                 if n < min_words:
                     continue
                 u = self.link[v]
                 at = v if n > self.length[u] else u
-                for item in self.items[self.top[at]]:
+                for item in self.items(self.top[at]):
                     span = (i + 1 - self._longest(at, n, item), i + 1)
                     spans = out.setdefault(item, [])
                     if spans and spans[-1] == (span[0], i):
@@ -130,26 +181,28 @@ class SuffixAutomaton:
 
     def _longest(self, v: int, n: int, item) -> int:
         """Words of the longest match of ``item`` that ends here: the longest suffix whose state still has the item."""
-        while item not in self.items[v]:
+        while item not in self.items(v):
             v = self.link[v]
             n = self.length[v]
         return n
 
 
-def build_automata(items: list[tuple], min_words: int, words_per_automaton: int = WORDS_PER_AUTOMATON) -> list[SuffixAutomaton]:
-    out, held = [], 0
+def build_automata(items: Iterable[tuple], min_words: int, words_per_automaton: int = WORDS_PER_AUTOMATON) -> Iterator[SuffixAutomaton]:
+    """One automaton after the other, each of at most ``words_per_automaton`` words (or one longer item)."""
+    a, held = SuffixAutomaton(), 0
     for item, text in items:
         words = words_of(text)
         if len(words) < min_words:
             continue
-        if not out or held + len(words) > words_per_automaton and held:
-            out.append(SuffixAutomaton())
-            held = 0
-        out[-1].add(item, words)
+        if held and held + len(words) > words_per_automaton:
+            a.close(min_words)
+            yield a
+            a, held = SuffixAutomaton(), 0
+        a.add(item, words)
         held += len(words)
-    for a in out:
+    if held:
         a.close(min_words)
-    return out
+        yield a
 
 
 def leaked_items(
@@ -163,13 +216,11 @@ def leaked_items(
     """
     spark = documents.sparkSession
     rows = items.select(item_col, item_text).filter(f"{item_text} is not null").distinct().toLocalIterator()
-    held = sorted(((r[0], r[1]) for r in rows), key=repr)
     out_schema = f"`{id_col}` {documents.schema[id_col].dataType.simpleString()}, `{item_col}` {items.schema[item_col].dataType.simpleString()}, first_word int, end_word int, char_start bigint, char_end bigint"
     id_type, item_type = (pa.int64() if t == "bigint" else pa.string() for t in (documents.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()))
     schema = pa.schema([(id_col, id_type), (item_col, item_type), ("first_word", pa.int32()), ("end_word", pa.int32()), ("char_start", pa.int64()), ("char_end", pa.int64())])
-    passes = build_automata(held, min_words)
     result = None
-    for automaton in passes:
+    for automaton in build_automata(((r[0], r[1]) for r in rows), min_words, WORDS_PER_AUTOMATON):
         sent = spark.sparkContext.broadcast(automaton)
 
         def stream(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
