@@ -130,6 +130,36 @@ def unit_factor(unit: Column | str) -> Column:
     return F.coalesce(_first([(_c(unit) == n, F.lit(float(f))) for n, f in named.items()]), F.lit(1.0)).cast("double")
 
 
+def dimensions_comparable(a: Column, b: Column) -> Column:
+    """Whether two units may be compared: both of one dimension, or both of none."""
+    return a.eqNullSafe(b)
+
+
+#: Limits and suffixes of short numbers, in order.
+SHORT = ((1e12, "T"), (1e9, "B"), (1e7, "Cr"), (1e6, "M"), (1e3, "K"))
+
+
+def short_number(x: Column | str) -> Column:
+    """A number to four digits with the suffix of its scale; empty for null."""
+
+    def digits(v: Column) -> Column:  # four significant digits, no trailing zeros
+        places = F.greatest(F.lit(0), 3 - F.floor(F.log10(F.greatest(F.abs(v), F.lit(1e-4)))).cast("int"))
+        text = F.when(places == 0, F.format_string("%.0f", v)).when(places == 1, F.format_string("%.1f", v)).when(places == 2, F.format_string("%.2f", v)).when(places == 3, F.format_string("%.3f", v)).otherwise(F.format_string("%.7f", v))
+        return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+
+    v = _c(x).cast("double")
+    out = digits(v)
+    for limit, suffix in reversed(SHORT):
+        out = F.when(F.abs(v) >= limit, F.concat(digits(v / limit), F.lit(" " + suffix))).otherwise(out)
+    return F.coalesce(out, F.lit(""))
+
+
+def unit_norm(vector: Column | str) -> Column:
+    """The vector divided by its length; a zero vector stays."""
+    v = _c(vector)
+    return let(F.struct(v.alias("v"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("n")), lambda s: F.when(s["n"] > 0, F.transform(s["v"], lambda x: x.cast("double") / s["n"])).otherwise(s["v"].cast("array<double>")))
+
+
 def convert(value: Column, factor: Column, dimension: Column, to_factor: Column, to_dimension: Column) -> Column:
     """Null where the dimensions differ or are unknown."""
     return F.when(dimension == to_dimension, F.try_divide(value * factor, to_factor))

@@ -101,6 +101,21 @@ def content_hash(*parts: Column | str) -> Column:
     return F.sha2(F.concat(*[c for p in parts for c in (F.coalesce(_c(p).cast("string"), F.lit("")), F.lit("\0"))]), 256)
 
 
+def text_hash(x: Column | str) -> Column:
+    """Key of a text in the vector cache."""
+    return F.sha2(_c(x), 256)
+
+
+def tolerant_date(x: Column | str) -> Column:
+    """The ISO date that a text begins with; null for anything else."""
+    return F.try_to_date(F.substring(_c(x).cast("string"), 1, 10), "yyyy-MM-dd")
+
+
+def decode_json(x: Column | str, schema: str, default: Column) -> Column:
+    """A JSON text as ``schema``; ``default`` where it is null, empty or no such JSON."""
+    return F.coalesce(F.from_json(F.nullif(_c(x), F.lit("")), schema), default)
+
+
 def chunk_id(doc_id: Column | str, text: Column | str) -> Column:
     return digest(doc_id, normalize_for_hash(text), length=32)
 

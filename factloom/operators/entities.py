@@ -1,27 +1,20 @@
 """Resolving subjects onto entities: exact name, alias, postal address, similar wording, vector, else a new entity.
 
-Every distinct canonical subject is resolved once. Exact and alias are joins. Addresses meet on their postal code. Wording
-is compared in blocks: the entities' names are sent in pieces of NAMES, never more, each a pass over the open subjects.
+Every distinct canonical subject is resolved once. Exact and alias are joins. Addresses meet on their postal code. Names of
+similar wording meet on segments, vectors in tiles (``namejoin``); no list of names comes to the driver.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.fuzzy import ratio, token_set
-from factloom.functions.subject import canonical_subject, guess_entity_type, normalize_address
+from factloom.functions.fuzzy import token_set
+from factloom.functions.subject import canonical_subject, guess_entity_type, normalize_address, types_compatible
 from factloom.functions.text import entity_key
-from factloom.operators.funnel import cosine
+from factloom.operators.namejoin import similar_names, similar_vectors
 from factloom.session import materialise
 
-NAMES = 20_000
-_VAGUE = frozenset({"unknown", "concept", "person_or_organisation"})
-
 
 def entity_names(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(canonical names, aliases) -> ``entity_id, name, kind``; of several entities with one name the smallest id."""
@@ -33,32 +26,23 @@ def entity_names(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     return one(rows.select("entity_id", canonical_subject("canonical_name").alias("name"), "kind")), one(rows.select("entity_id", F.explode("al").alias("a"), "kind").select("entity_id", canonical_subject("a").alias("name"), "kind"))
 
 
-def _similar(names: list[tuple[str, str, str]], threshold: float):
-    prepared = [(" ".join(sorted(n.split())), e, k) for n, e, k in names]
-    counts = [Counter(n) for n, _, _ in prepared]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for name, kind in zip(b.column("name").to_pylist(), b.column("guess").to_pylist()):
-                s = " ".join(sorted(name.split()))
-                letters = Counter(s)
-                best = (threshold, None)
-                for (t, e, k), c in zip(prepared, counts):
-                    total = len(s) + len(t)
-                    if 200 * min(len(s), len(t)) < best[0] * total or not (kind == k or kind in _VAGUE or k in _VAGUE):
-                        continue
-                    if 200 * sum(min(n, c[x]) for x, n in letters.items()) < best[0] * total:
-                        continue  # not even the letters in common suffice
-                    score = ratio(s, t)
-                    if score > best[0] or score == best[0] and (best[1] is None or e < best[1]):
-                        best = (score, e)
-                if best[1] is not None:
-                    out.append((name, best[1], best[0]))
-            cols = list(zip(*out)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["name", "entity_id", "score"])
-
-    return run
+def _first_best(df: DataFrame) -> DataFrame:
+    """Of each ``name``'s rows the one of the highest score, of equal ones the smallest entity id."""
+    w = Window.partitionBy("name").orderBy(F.desc("score"), "entity_id")
+    return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def similar_entities(names: DataFrame, by_name: DataFrame, least: float) -> DataFrame:
+    """``name, entity_id, other, score``: the entity of the most similar name, of a compatible type, for each ``name, guess``."""
+    near = similar_names(names, by_name, least).join(names.select("name", "guess"), "name").join(by_name.select(F.col("name").alias("other"), "entity_id", "kind"), "other")
+    return _first_best(near.filter(types_compatible(F.col("guess"), F.col("kind"))).select("name", "entity_id", "other", "score"))
+
+
+def close_calls(names: DataFrame, by_name: DataFrame, fuzzy: float = 92.0, review: float = 86.0) -> DataFrame:
+    """``subject, candidate, score, decision``: what was merged by less than three points, and what was kept separate above ``review``."""
+    best = similar_entities(names, by_name, review).filter(F.col("score") < fuzzy + 3)
+    decision = F.when(F.col("score") >= fuzzy, "merged").otherwise("kept_separate")
+    return best.select(F.col("name").alias("subject"), F.col("other").alias("candidate"), F.round("score", 1).alias("score"), decision.alias("decision"))
 
 
 def resolve_subjects(
@@ -68,11 +52,11 @@ def resolve_subjects(
     embedding or new. Null and empty subjects resolve to nothing and are left out. With ``vector_col`` (one vector a subject)
     what wording leaves open is compared with the entities' vectors.
     """
-    vec = F.first(vector_col) if vector_col else F.lit(None).cast("array<float>")
+    vec = F.min(vector_col) if vector_col else F.lit(None).cast("array<float>")
     rows = subjects.filter(F.col(subject_col).isNotNull()).groupBy(F.col(subject_col).alias("raw")).agg(vec.alias("vec"))
     rows = rows.withColumn("name", canonical_subject("raw")).filter("name <> ''")
     rows = materialise(rows, "subjects")
-    distinct = rows.groupBy("name").agg(F.min("raw").alias("raw"), F.first("vec", ignorenulls=True).alias("vec")).withColumn("guess", guess_entity_type("raw"))
+    distinct = rows.groupBy("name").agg(F.min("raw").alias("raw"), F.min("vec").alias("vec")).withColumn("guess", guess_entity_type("raw"))
     distinct = materialise(distinct, "names")
     by_name, by_alias = (materialise(df, "entity-names") for df in entity_names(entities))
 
@@ -89,18 +73,13 @@ def resolve_subjects(
     found = materialise(exact.unionByName(alias).unionByName(placed), "settled")
     left = distinct.join(found, "name", "left_anti")
 
-    known = sorted((r.name, r.entity_id, r.kind) for r in by_name.toLocalIterator())
-    worded = None
-    for at in range(0, max(1, len(known)), NAMES):
-        part = left.select("name", "guess").mapInArrow(_similar(known[at : at + NAMES], fuzzy), "name string, entity_id string, score double")
-        worded = part if worded is None else worded.unionByName(part)
-    worded = worded.groupBy("name").agg(F.max_by(F.struct("entity_id", "score"), F.struct("score", "entity_id")).alias("m")).select("name", "m.entity_id", F.lit("fuzzy").alias("method"), "m.score")
+    worded = similar_entities(left.select("name", "guess"), by_name, fuzzy).select("name", "entity_id", F.lit("fuzzy").alias("method"), "score")
     found = materialise(found.unionByName(worded), "worded")
     left = distinct.join(found, "name", "left_anti")
     if vector_col:
-        ev = entities.filter(F.col("embedding").isNotNull()).select("entity_id", F.col("embedding").alias("ev")).dropDuplicates(["entity_id"])
-        near = left.filter("vec is not null").join(ev, F.size("vec") == F.size("ev")).withColumn("score", cosine(F.col("vec"), F.col("ev"))).filter(F.col("score") >= cosine_least)
-        embedded = near.groupBy("name").agg(F.max_by(F.struct("entity_id", "score"), F.struct("score", "entity_id")).alias("m")).select("name", "m.entity_id", F.lit("embedding").alias("method"), (F.col("m.score") * 100).alias("score"))
+        ev = entities.select("entity_id", F.col("embedding").alias("vec")).dropDuplicates(["entity_id"])
+        near = _first_best(similar_vectors(left.select("name", "vec"), ev, cosine_least))
+        embedded = near.select("name", "entity_id", F.lit("embedding").alias("method"), (F.col("score") * 100).alias("score"))
         found = materialise(found.unionByName(embedded), "embedded")
         left = distinct.join(found, "name", "left_anti")
     made = left.select("name", entity_key("name", "guess").alias("entity_id"), F.lit("new").alias("method"), F.lit(0.0).alias("score"))

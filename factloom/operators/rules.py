@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +44,7 @@ def _check(name: str, outcome: Column, **inputs: Column) -> Column:
 
 
 def evaluate_pairs(paired: DataFrame, floor: float = 0.005, minor: float = 0.02) -> DataFrame:
-    """``fact_a, fact_b, relation, confidence, decided_by_step, numeric_delta, relative_delta, trace, link_id``.
+    """``fact_a, fact_b, relation, confidence, step, explanation, numeric_delta, relative_delta, trace, link_id``.
 
     ``paired`` has structs ``a`` and ``b``. ``relation`` is null for pairs that no rule settles. The relative tolerance is the
     looser of ``floor`` and the precision either side writes; below ``minor`` a gap still corroborates, less surely.
@@ -117,11 +119,46 @@ def evaluate_pairs(paired: DataFrame, floor: float = 0.005, minor: float = 0.02)
         _check("verdict", F.coalesce(F.col("_v.relation"), F.lit("undecided")), step=F.col("_v.step")),
     ))
     return p.select(
-        "fact_a", "fact_b", F.col("_v.relation").alias("relation"), F.col("_v.confidence").alias("confidence"), F.col("_v.step").alias("step"),
+        "fact_a", "fact_b", F.col("_v.relation").alias("relation"), F.col("_v.confidence").alias("confidence"), F.col("_v.step").alias("step"), _explanation().alias("explanation"),
         F.when(compared, F.col("_delta")).alias("numeric_delta"), F.when(compared, rel).alias("relative_delta"), trace.alias("trace"), link_id("fact_a", "fact_b").alias("link_id"),
     )
 
 
+#: What each step says of a pair, for readers of the links.
+EXPLANATIONS = {
+    "value_type": "One value is {a.value_type}, the other {b.value_type}.",
+    "unit_dimension": "The units measure different things: {a.unit_dimension} and {b.unit_dimension}.",
+    "predicate_without_dimension": "Different predicates, and no common dimension to compare them by.",
+    "currency": "Stated in {a.currency} and {b.currency}, without a rate of exchange.",
+    "currency_with_rate": "Stated in {a.currency} and {b.currency}, with a rate of exchange: to be judged.",
+    "address": "Two spellings of one address, with the same postal code.",
+    "wording": "The same wording, apart from order and spelling.",
+    "wording_period": "Different texts of different periods: {a.period_label_raw} and {b.period_label_raw}.",
+    "wording_scope": "Different texts of different scopes: {shift}.",
+    "wording_unsettled": "Different texts that nothing explains.",
+    "numeric_values": "A number is missing on one side.",
+    "unit_conversion": "{a.unit_canonical} can't be converted to {b.unit_canonical}.",
+    "unit_agreement": "The same value in {a.unit_canonical} and {b.unit_canonical}.",
+    "period_nested": "One period lies within the other: {a.period_label_raw} and {b.period_label_raw}.",
+    "period_disjoint": "Different periods: {a.period_label_raw} and {b.period_label_raw}.",
+    "scope": "Different scopes: {shift}.",
+    "vintage": "One claim from documents of different dates: {a.as_of_date} and {b.as_of_date}.",
+    "agreement": "The values agree within the precision written, {gap} apart.",
+    "minor_gap": "The values are {gap} apart, more than rounding but little.",
+    "material_gap": "The values are {gap} apart, and neither unit, period, scope nor date explains it.",
+}
+
+
+def _explanation() -> Column:
+    """The verdict's step in words, with both sides' values put in."""
+    put = {"shift": F.array_join("_shift", "; "), "gap": F.concat(F.format_string("%.2f", F.col("_rel") * 100), F.lit("%"))}
+    out = F.lit(None).cast("string")
+    for step, text in EXPLANATIONS.items():
+        cells = [put[x] if x in put else F.col(x).cast("string") if x[:2] in ("a.", "b.") else F.lit(x) for x in re.split(r"[{}]", text) if x]
+        out = F.when(F.col("_v.step") == step, F.concat(*[F.coalesce(c, F.lit("unstated")) for c in cells])).otherwise(out)
+    return out
+
+
 def storable_links(decided: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links to keep, undecided pairs): pairs found unrelated are counted elsewhere and never stored."""
     return decided.filter("relation is not null and relation <> 'unrelated'"), decided.filter("relation is null")

@@ -86,6 +86,17 @@ def links_for_fact(links: DataFrame, fact_id: str) -> DataFrame:
     return links.filter((F.col("fact_a") == fact_id) | (F.col("fact_b") == fact_id)).orderBy(F.desc("confidence"), "link_id")
 
 
+def fact_detail(links: DataFrame, view: DataFrame, ids: DataFrame) -> DataFrame:
+    """The links of the facts asked for (``fact_id``), each with its counterpart's row as a struct; a link of two of them comes twice.
+
+    A counterpart that is gone is null.
+    """
+    asked = ids.select("fact_id").distinct()
+    sides = links.withColumns({"fact_id": F.col("fact_a"), "other": F.col("fact_b")}).unionByName(links.withColumns({"fact_id": F.col("fact_b"), "other": F.col("fact_a")}))
+    other = view.select(F.col("fact_id").alias("other"), F.struct(*view.columns).alias("counterpart")).dropDuplicates(["other"])
+    return sides.join(asked, "fact_id", "left_semi").join(other, "other", "left")
+
+
 def facts_by_ids(view: DataFrame, ids: DataFrame) -> DataFrame:
     """A semi join with a table of ids instead of a list of them."""
     return view.join(ids.select("fact_id").distinct(), "fact_id", "left_semi")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -35,11 +36,36 @@ def delete_document_facts(docs: DataFrame, facts: DataFrame, evidence: DataFrame
     }
 
 
-def set_values(df: DataFrame, key: str, changes: DataFrame) -> DataFrame:
-    """Updates by key: each column of ``changes`` replaces the table's where the key is given and the value isn't null."""
+def set_values(df: DataFrame, key: str, changes: DataFrame, nulls: bool = False) -> DataFrame:
+    """Updates by key: each column of ``changes`` replaces the table's where the key is given and, unless ``nulls``, the value isn't null."""
     fields = [c for c in changes.columns if c != key]
     new = changes.dropDuplicates([key]).select(key, *[F.col(c).alias(f"_{c}") for c in fields])
-    return df.join(new, key, "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in fields else F.col(c) for c in df.columns])
+    new = new.withColumn("_given", F.lit(True))
+    value = lambda c: F.when(F.col("_given"), F.col(f"_{c}")).otherwise(F.col(c)) if nulls else F.coalesce(f"_{c}", c)
+    return df.join(new, key, "left").select(*[value(c).alias(c) if c in fields else F.col(c) for c in df.columns])
+
+
+def exists(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``key, found`` of each distinct key asked for: a left join with the distinct keys of the table."""
+    have = df.select(key).distinct().withColumn("_found", F.lit(True))
+    return keys.select(key).distinct().join(have, key, "left").select(key, F.coalesce("_found", F.lit(False)).alias("found"))
+
+
+def cache_put(cache: DataFrame, new: DataFrame, key: str, order: list[Column] | None = None) -> DataFrame:
+    """The cache with the new rows in place of those with their key; of several new rows of a key the first by ``order``."""
+    return upsert(cache, new, [key], order)
+
+
+def ensure_tables(spark: SparkSession, root: str, schemas: dict[str, str]) -> list[str]:
+    """Makes each table below ``root`` that isn't there yet, empty and with its schema; names those made. Run again, it makes none."""
+    made = []
+    for name, schema in schemas.items():
+        try:
+            spark.read.parquet(f"{root}/{name}").schema  # noqa: B018  the footer is read, no row
+        except AnalysisException:
+            spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{root}/{name}")
+            made.append(name)
+    return made
 
 
 def cache_lookup(wanted: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
