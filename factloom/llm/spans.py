@@ -10,8 +10,7 @@
    are one stretch. This is exact down to ``min_chars``, and linear in the text.
 
 A text without a recurring anchor shares nothing: two texts that share a stretch have all its windows alike, so the same
-anchors are picked in both. Texts that share a window are a group; groups are told apart by sums of hashes of their texts,
-so no group is ever collected, and texts that share many windows with the same others are one row of a group.
+anchors are picked in both. Texts that share a window are a group; groups are told apart by combined hashes of their texts, so no group is ever collected, and texts that share many windows with the same others are one row of a group.
 Exact copies are one text from the start; they are expanded at the end.
 """
 
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from factloom.session import materialise, small_or_shuffled
 
 #: Passages in one automaton (of PATTERN code points each), and texts streamed through one task's copy of it.
-SHARD_PASSAGES, SHARD_TEXTS, PATTERN = 20_000, 5_000, 40
+SHARD_PASSAGES, SHARD_TEXTS, PATTERN = 20_000, 2_000, 40
 #: Code points hashed at once.
 BLOCK = 1 << 19
 
@@ -129,7 +128,8 @@ def _blocks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 class SharedSpans:
     members: DataFrame  # _id, t1, t2: documents of at least min_chars, and their text's key
     texts: DataFrame  # tid, t1, t2: the texts that share a passage with another one
-    windows: DataFrame  # g1, g2, tid, pos: windows around an occurrence of a recurring passage, by their digest
+    windows: DataFrame  # g1, g2, tid, pos, first: windows around an occurrence of a recurring passage, by their digest; first of its text
+    sharded: bool  # a text may have been streamed in several shards, and have a first window in each
 
 
 def shared_windows(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 400, gram: int = 256) -> SharedSpans:
@@ -175,7 +175,9 @@ def shared_windows(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         .select("shard", F.pmod(F.xxhash64("tid"), "n_salts").cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("tid").alias("key"), F.col("text").alias("body"))
     )
     words = strings.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("key"), "body")
-    stream = words.unionByName(docs).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    # as many partitions as units of work, by number: coalescing by bytes would put all of them into one task
+    units = shards + -(-routes.count() // SHARD_TEXTS)
+    stream = words.unionByName(docs).repartition(max(2, min(units, 100_000)), "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
     skip = (gram - PATTERN) // 2
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +185,7 @@ def shared_windows(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
         at, held, auto, fresh = None, {}, None, False
         for b in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[] for _ in range(5)]
             for shard, salt, kind, key, body in zip(*(b.column(c).to_pylist() for c in ("shard", "salt", "kind", "key", "body"))):
                 if (shard, salt) != at:
                     at, held, auto, fresh = (shard, salt), {}, None, True
@@ -206,23 +208,26 @@ def shared_windows(documents: DataFrame, id_col: str = "doc_id", text_col: str =
                     continue
                 data = memoryview(body.encode("utf-32-le", "surrogatepass"))
                 g = np.frombuffer(b"".join(blake2b(data[4 * p : 4 * (p + min_chars)], digest_size=16).digest() for p in pos.tolist()), np.int64).reshape(-1, 2)
-                for o, x in zip(out, (g[:, 0], g[:, 1], np.full(len(pos), key, np.int64), pos.astype(np.int32))):
+                first = np.zeros(len(pos), bool)
+                first[np.unique(g, axis=0, return_index=True)[1]] = True
+                for o, x in zip(out, (g[:, 0], g[:, 1], np.full(len(pos), key, np.int64), pos.astype(np.int32), first)):
                     o.append(x)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["g1", "g2", "tid", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["g1", "g2", "tid", "pos", "first"])
 
-    windows = materialise(stream.mapInArrow(locate, "g1 bigint, g2 bigint, tid bigint, pos int").distinct() if shards > 1 else stream.mapInArrow(locate, "g1 bigint, g2 bigint, tid bigint, pos int"), "windows")
-    return SharedSpans(members, cand.select("tid", "t1", "t2"), windows)
+    windows = materialise(stream.mapInArrow(locate, "g1 bigint, g2 bigint, tid bigint, pos int, first boolean"), "windows")
+    return SharedSpans(members, cand.select("tid", "t1", "t2"), windows, shards > 1)
 
 
 def text_groups(shared: SharedSpans) -> DataFrame:
     """Materialised ``n, ga, gb, tid``: the different sets of texts that share a window, each set once, a row a text.
 
-    A set is known by its size and two sums of its texts' hashes, pre-aggregated before the shuffle.
+    A set is known by its size and by the exclusive or and the sum of its texts' hashes, pre-aggregated before the shuffle.
     """
-    w = shared.windows.select("g1", "g2", "tid").distinct()
-    hashed = w.withColumns({"a": F.xxhash64("tid").cast("decimal(20,0)"), "b": F.xxhash64("tid", F.lit(7)).cast("decimal(20,0)")})
-    sets = hashed.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.sum("a").alias("ga"), F.sum("b").alias("gb")).filter("n > 1")
+    w = shared.windows.filter("first").select("g1", "g2", "tid")
+    w = w.distinct() if shared.sharded else w
+    part = F.shiftrightunsigned(F.xxhash64("tid", F.lit(7)), 32)
+    sets = w.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("tid")).alias("ga"), F.sum(part).alias("gb")).filter("n > 1")
     one = sets.groupBy("n", "ga", "gb").agg(F.min(F.struct("g1", "g2")).alias("g")).select("n", "ga", "gb", "g.g1", "g.g2")
     return materialise(w.join(small_or_shuffled(materialise(one, "text-sets")), ["g1", "g2"]).select("n", "ga", "gb", "tid"), "text-groups")
 
