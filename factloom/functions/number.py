@@ -151,7 +151,7 @@ def short_number(x: Column | str) -> Column:
     out = digits(v)
     for limit, suffix in reversed(SHORT):
         out = F.when(F.abs(v) >= limit, F.concat(digits(v / limit), F.lit(" " + suffix))).otherwise(out)
-    return F.coalesce(out, F.lit(""))
+    return F.when(v.isNull(), "").otherwise(out)
 
 
 def unit_norm(vector: Column | str) -> Column:

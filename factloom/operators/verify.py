@@ -65,27 +65,52 @@ def find_quote(quote: str | None, text: str | None, threshold: float = 90.0, lea
     return places[min(s, len(places) - 1)], places[min(max(e - 1, 0), len(places) - 1)] + 1, score, "fuzzy"
 
 
-def verify_quotes(quotes: DataFrame, sources: DataFrame, key: str, id_col: str = "evidence_id", quote_col: str = "quote", text_col: str = "text", threshold: float = 90.0) -> DataFrame:
-    """``id_col, char_start, char_end, score, method, verified`` of each quote in the source with the same ``key``.
+#: Quotes of one source that go to one copy of its text.
+QUOTES = 500
+
 
-    Exact finds are settled in the JVM; only the others go to Python. Quotes without a source come out ``too_short``, as do
-    null and short ones; rows given twice count once.
+def _grouped(quotes: DataFrame, sources: DataFrame, key: str, id_col: str, quote_col: str, text_col: str) -> DataFrame:
+    """``_t, qs``: each source's text beside its quotes (id, quote, place of the exact find, 0 without one), QUOTES of them a row.
+
+    The text is sent once a row, not once a quote, and a source that a third of all quotes name is spread over many rows.
     """
     q = quotes.select(F.col(id_col).alias("_id"), F.col(key).alias("_k"), F.trim(quote_col).alias("_q")).distinct()
+    n = q.groupBy(F.col("_k").alias("_kk")).agg(F.ceil(F.count("*") / QUOTES).cast("int").alias("_n"))
+    salted = q.join(n, F.col("_k").eqNullSafe(F.col("_kk"))).select("_k", "_id", "_q", F.pmod(F.xxhash64("_id", "_q"), "_n").alias("_salt"))
+    per = salted.groupBy("_k", "_salt").agg(F.collect_list(F.struct(F.col("_id").alias("id"), F.col("_q").alias("q"))).alias("qs"))
     s = sources.select(F.col(key).alias("_k"), F.col(text_col).alias("_t")).dropDuplicates(["_k"])
-    both = q.join(s, "_k", "left").withColumn("_at", F.when(F.length("_q") >= 8, F.expr("instr(_t, _q)")).otherwise(0))
-    found = both.filter("_at > 0").select(
-        "_id", (F.col("_at") - 1).cast("bigint").alias("char_start"), (F.col("_at") - 1 + F.length("_q")).cast("bigint").alias("char_end"), F.lit(100.0).alias("score"), F.lit("exact").alias("method")
-    )
+    at = "transform(qs, x -> named_struct('id', x.id, 'q', x.q, 'at', if(length(x.q) >= 8, coalesce(instr(_t, x.q), 0), 0)))"
+    return per.join(s, "_k", "left").select("_t", F.expr(at).alias("qs"))
+
+
+def exact_quotes(quotes: DataFrame, sources: DataFrame, key: str, id_col: str = "evidence_id", quote_col: str = "quote", text_col: str = "text") -> DataFrame:
+    """``id_col, char_start, char_end`` of the quotes that stand word for word in their source; no other attempt is made."""
+    hit = _grouped(quotes, sources, key, id_col, quote_col, text_col).select(F.explode(F.filter("qs", lambda x: x["at"] > 0)).alias("x"))
+    return hit.select(F.col("x.id").alias(id_col), (F.col("x.at") - 1).cast("bigint").alias("char_start"), (F.col("x.at") - 1 + F.length("x.q")).cast("bigint").alias("char_end"))
+
+
+def verify_quotes(quotes: DataFrame, sources: DataFrame, key: str, id_col: str = "evidence_id", quote_col: str = "quote", text_col: str = "text", threshold: float = 90.0) -> DataFrame:
+    """``id_col, char_start, char_end, score, method, verified`` of each quote in the source with the same ``key``.
+
+    Exact finds are settled in the JVM; only the others go to Python, each source's together. Quotes without a source come out
+    ``too_short``, as do null and short ones; rows given twice count once.
+    """
+    both = _grouped(quotes, sources, key, id_col, quote_col, text_col)
+    hit = both.select(F.explode(F.filter("qs", lambda x: x["at"] > 0)).alias("x"))
+    found = hit.select(F.col("x.id").alias("_id"), (F.col("x.at") - 1).cast("bigint").alias("char_start"), (F.col("x.at") - 1 + F.length("x.q")).cast("bigint").alias("char_end"), F.lit(100.0).alias("score"), F.lit("exact").alias("method"))
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [find_quote(x, t, threshold) for x, t in zip(b.column("_q").to_pylist(), b.column("_t").to_pylist())]
-            cols = list(zip(*got)) if got else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.string())))], names=["_id", "char_start", "char_end", "score", "method"]
-            )
+            rows = []
+            flat = b.column("ids").flatten()
+            for text, qs in zip(b.column("_t").to_pylist(), b.column("q").to_pylist()):
+                rows += [find_quote(q, text, threshold) for q in qs]
+            cols = list(zip(*rows)) if rows else [[], [], [], []]
+            found_ = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([flat, *found_], names=["_id", "char_start", "char_end", "score", "method"])
 
     kind = quotes.schema[id_col].dataType.simpleString()
-    other = both.filter("_at is null or _at = 0").select("_id", "_q", "_t").mapInArrow(rest, f"_id {kind}, char_start bigint, char_end bigint, score double, method string")
+    left = both.select("_t", F.filter("qs", lambda x: x["at"] == 0).alias("qs")).filter(F.size("qs") > 0)
+    left = left.select("_t", F.transform("qs", lambda x: x["id"]).alias("ids"), F.transform("qs", lambda x: x["q"]).alias("q"))
+    other = left.mapInArrow(rest, f"_id {kind}, char_start bigint, char_end bigint, score double, method string")
     return found.unionByName(other).withColumn("verified", F.col("char_start").isNotNull()).withColumnRenamed("_id", id_col)

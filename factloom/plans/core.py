@@ -365,8 +365,7 @@ def canonical_texts(spark: SparkSession, d: str) -> DataFrame:
 @query
 def verify_exact(spark: SparkSession, d: str) -> DataFrame:
     ev, docs = _t(spark, d, "evidence", "documents")
-    found = verify.verify_quotes(ev, docs, "doc_id").filter("method = 'exact'")
-    return found.select("evidence_id", "char_start", "char_end")
+    return verify.exact_quotes(ev, docs, "doc_id")
 
 
 @query
