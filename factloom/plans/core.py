@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import number, period, subject, text
-from factloom.operators import chunking, entities, funnel, rules, search, stats, store, verify
+from factloom.operators import chunking, entities, funnel, rules, runs, search, stats, store, verify
+from factloom.operators import facts as facts_
 from factloom.operators.quantities import agreeing_pairs, common_quantities
+from factloom.plans import literals
 from factloom.session import materialise, read_table, shared_dir
 from factloom.sources.landing import export_json
 from factloom.streaming import ingest
@@ -25,7 +27,7 @@ def query(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_ALL)
+    return _ALL | literals.queries()
 
 
 def _t(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
@@ -40,6 +42,13 @@ def p6_quantities(spark: SparkSession, d: str) -> DataFrame:
     return common_quantities(read_table(spark, d, "facts").filter("value_type = 'numeric'")).distinct()
 
 
+@query
+def p6_common(spark: SparkSession, d: str) -> DataFrame:
+    """Every numeric fact's dimension and quantity in its common unit."""
+    q = common_quantities(read_table(spark, d, "facts").filter("value_type = 'numeric'"))
+    return q.select("fact_id", "dimension", F.round("quantity", 3).alias("quantity")).distinct()
+
+
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     facts = read_table(spark, d, "facts").withColumn("measure", F.col("qualifiers")["measure"]).filter("measure is not null")
@@ -252,6 +261,56 @@ def vocabulary_hint(spark: SparkSession, d: str) -> DataFrame:
     return stats.vocabulary_hint(read_table(spark, d, "predicate_registry"), 40)
 
 
+# Facts and their counterparts ---------------------------------------------------------------------------------------------
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    """One link a predicate, between its first and last fact, standing in for the links table."""
+    rows = funnel.latest_facts(read_table(spark, d, "facts")).filter("predicate_canonical is not null")
+    per = rows.groupBy("predicate_canonical").agg(F.min("fact_id").alias("fact_a"), F.max("fact_id").alias("fact_b"), F.round(F.avg("confidence"), 4).alias("confidence"))
+    return per.filter("fact_a <> fact_b").withColumnRenamed("predicate_canonical", "link_id")
+
+
+@query
+def fact_detail(spark: SparkSession, d: str) -> DataFrame:
+    """The links of the registry's example facts and of every link's first fact, with their counterparts."""
+    links = _links(spark, d)
+    ids = read_table(spark, d, "predicate_registry").select(F.col("example_fact_id").alias("fact_id")).unionByName(links.select(F.col("fact_a").alias("fact_id")))
+    return search.fact_detail(links, _view(spark, d), ids).select("link_id", "fact_id", "other", F.col("counterpart.value_raw").alias("value_raw"), F.col("counterpart.document_title").alias("title"))
+
+
+@query
+def links_for_fact(spark: SparkSession, d: str) -> DataFrame:
+    """The links of the fact that comes first of all links' facts."""
+    links = _links(spark, d)
+    first = links.agg(F.min("fact_a").alias("fact_id"))
+    return search.fact_detail(links, _view(spark, d), first).select("link_id", "fact_a", "fact_b", "confidence")
+
+
+@query
+def built_fact_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of facts and of their evidence, made anew from what the facts say."""
+    f, ev = _t(spark, d, "facts", "evidence")
+    raw = f.join(ev.select("evidence_id", F.col("quote").alias("evidence_quote")), "evidence_id").select(
+        "doc_id", "chunk_id", F.col("subject_raw").alias("subject"), "predicate", "value_raw", "period_label_raw", "scope_tags", "evidence_quote"
+    )
+    return facts_.with_ids(raw).select("fact_id", "evidence_id").distinct()
+
+
+@query
+def facts_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of each chunk within the most that one may have."""
+    rows = funnel.latest_facts(read_table(spark, d, "facts")).filter("chunk_id is not null")
+    return facts_.first_of_chunk(rows, "fact_id", 2).select("chunk_id", "fact_id")
+
+
+@query
+def dates_of_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The date that a document's title, file name or date of issue begins with."""
+    docs = read_table(spark, d, "documents")
+    return docs.select("doc_id", text.tolerant_date(F.coalesce(F.col("as_of_date").cast("string"), "title", "filename")).alias("day"))
+
+
 # Writes ----------------------------------------------------------------------------------------------------------------
 
 
@@ -298,6 +357,22 @@ def cache_misses(spark: SparkSession, d: str) -> DataFrame:
     return store.cache_lookup(wanted, vectors.select("canonical_string").distinct(), "canonical_string")[1]
 
 
+@query
+def document_exists(spark: SparkSession, d: str) -> DataFrame:
+    """Which of the facts' documents, and of some ids that nothing has, the documents hold."""
+    asked = read_table(spark, d, "facts").select("doc_id").unionByName(spark.range(5).select((-F.col("id")).alias("doc_id")))
+    return store.exists(read_table(spark, d, "documents"), asked, "doc_id")
+
+
+@query
+def cache_put(spark: SparkSession, d: str) -> DataFrame:
+    """The vector cache after the facts' strings were put in, keyed by the text's hash; the texts that had a vector keep one row."""
+    facts, vectors = _t(spark, d, "facts", "fact_embeddings")
+    cache = vectors.filter("canonical_string is not null").select(text.text_hash("canonical_string").alias("text_hash"), F.lit("old").alias("model")).distinct()
+    new = facts.select(text.text_hash(text.canonical_string("subject_canonical", "predicate_canonical", "period_label_raw", "scope_tags")).alias("text_hash"), F.lit("new").alias("model"))
+    return store.cache_put(cache, new, "text_hash").groupBy("model").agg(F.count("*").alias("n"), F.min("text_hash").alias("least"))
+
+
 @query
 def export_documents(spark: SparkSession, d: str) -> DataFrame:
     return export_json(read_table(spark, d, "documents").select("doc_id", "filename", "collection", "n_pages", "text"), ("text",))
@@ -316,6 +391,49 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return counts.select(F.to_date("window.start").alias("day"), "event_type", "n")
 
 
+# Runs, with the events table standing in for the stages' rows -------------------------------------------------------------
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    e = read_table(spark, d, "events")
+    late = F.pmod("event_id", F.lit(7)) == 0
+    return e.select(
+        F.col("event_id").cast("string").alias("run_id"), (F.col("user_id") + 1000).cast("bigint").alias("doc_id"), F.col("event_type").alias("stage"), F.col("ts").alias("started_at"), F.col("ts").alias("finished_at"),
+        F.pmod("event_id", F.lit(5)).cast("int").alias("n_items"), F.pmod("event_id", F.lit(3)).cast("int").alias("n_calls"), F.floor("value").cast("int").alias("tokens_in"), F.lit(1).alias("tokens_out"),
+        F.when(late, F.lit('[{"kind": "late", "detail": "x"}]')).otherwise(F.lit("[]")).alias("errors"), F.replace("props", F.lit('"k"'), F.lit('"cache_hits"')).alias("notes"),
+    )
+
+
+@query
+def document_status(spark: SparkSession, d: str) -> DataFrame:
+    docs, f, ev = _t(spark, d, "documents", "facts", "evidence")
+    return runs.document_status(docs, _runs(spark, d), f, ev)
+
+
+@query
+def document_runs(spark: SparkSession, d: str) -> DataFrame:
+    """One document's runs, with what their JSON holds."""
+    rows = runs.document_runs(_runs(spark, d), 1005)
+    return rows.select("run_id", "stage", "n_items", F.size("errors").alias("n_errors"), F.try_element_at("notes", F.lit("cache_hits")).cast("bigint").alias("hits"))
+
+
+@query
+def recent_runs(spark: SparkSession, d: str) -> DataFrame:
+    return runs.recent_runs(_runs(spark, d), read_table(spark, d, "documents")).select("run_id", "stage", "n_calls", "filename")
+
+
+@query
+def run_totals(spark: SparkSession, d: str) -> DataFrame:
+    return runs.run_totals(_runs(spark, d))
+
+
+@query
+def decoded_notes(spark: SparkSession, d: str) -> DataFrame:
+    """The number that an event's JSON notes, -1 where there is none."""
+    got = text.decode_json("props", "k bigint", F.struct(F.lit(-1).cast("bigint").alias("k")))["k"]
+    return read_table(spark, d, "events").groupBy(F.coalesce(got, F.lit(-1)).alias("k")).agg(F.count("*").alias("n"))
+
+
 # Text ------------------------------------------------------------------------------------------------------------------
 
 

@@ -130,8 +130,88 @@ WHERE abs(a.quantity - b.quantity) <= greatest(abs(a.quantity), abs(b.quantity))
 )
 
 
+P6_COMMON = "WITH " + _quantities() + " SELECT DISTINCT fact_id, dimension, round(quantity, 3) AS quantity FROM qty"
+
+RUNS = """runs AS (SELECT CAST(event_id AS VARCHAR) AS run_id, CAST(user_id + 1000 AS BIGINT) AS doc_id, event_type AS stage, ts AS started_at, CAST(event_id % 5 AS INTEGER) AS n_items,
+  CAST(event_id % 3 AS INTEGER) AS n_calls, CAST(floor(value) AS INTEGER) AS tokens_in, 1 AS tokens_out, CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS n_errors,
+  TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS hits FROM events)"""
+LINKS = f"""WITH {LATEST}, links AS (SELECT * FROM (SELECT predicate_canonical AS link_id, min(fact_id) AS fact_a, max(fact_id) AS fact_b, round(avg(confidence), 4) AS confidence
+  FROM lf WHERE predicate_canonical IS NOT NULL GROUP BY 1) WHERE fact_a <> fact_b), sides AS (SELECT *, fact_a AS fact_id, fact_b AS other FROM links UNION ALL SELECT *, fact_b, fact_a FROM links)"""
+
+
+def _scope_rows() -> str:
+    from factloom.functions.tables import SCOPE_ALIASES
+
+    return ", ".join(f"('{a}', '{n}')" for a, n in SCOPE_ALIASES.items())
+
+
+def _scopes(of: str, key: str) -> str:
+    """``key, tags``: the sorted distinct tags of each row of ``of``, in the shared vocabulary."""
+    snake = SNAKE.format(x="bare")
+    return f"""s(alias, tag) AS (VALUES {_scope_rows()}), tags AS (
+  SELECT DISTINCT {key}, coalesce(x.tag, y.tag, {snake}) AS tag FROM (
+    SELECT {key}, regexp_replace(lower({clean('t')}), '^[ .,]+|[ .,]+$', '', 'g') AS bare FROM (SELECT {key}, unnest(scope_tags) AS t FROM {of})) r
+  LEFT JOIN s x ON x.alias = bare LEFT JOIN s y ON y.alias = translate(bare, '_', ' ') WHERE bare <> ''
+), scoped_tags AS (SELECT {key}, string_agg(tag, ',' ORDER BY tag) AS tags FROM tags WHERE tag <> '' GROUP BY 1)"""
+
+
+def _addresses() -> str:
+    from factloom.functions.subject import ADDRESS_WORDS
+
+    words = ", ".join(f"('{a.upper()}', '{n.upper()}')" for a, n in ADDRESS_WORDS.items())
+    return rf"""WITH w(short, long) AS (VALUES {words}), a AS (SELECT DISTINCT value_raw, upper({clean('value_raw')}) AS t FROM facts WHERE predicate_canonical = 'registered_address'),
+p AS (SELECT *, regexp_extract(t, '(\d{{6}}|\d{{5}}(?:-\d{{4}})?|[A-Z]{{1,2}}\d[A-Z\d]?\s*\d[A-Z]{{2}})', 1) AS code FROM a),
+word AS (SELECT value_raw, unnest(string_split(regexp_replace(CASE WHEN code = '' THEN t ELSE replace(t, code, ' ') END, '[^A-Z0-9 ]+', ' ', 'g'), ' ')) AS x, unnest(range(length(t) + 2)) AS i FROM p)
+SELECT p.value_raw, coalesce(n, '') AS normalized, nullif(regexp_replace(code, '\s+', '', 'g'), '') AS postal_code FROM p
+LEFT JOIN (SELECT value_raw, string_agg(coalesce(long, x), ' ' ORDER BY i) AS n FROM word LEFT JOIN w ON short = x WHERE x <> '' GROUP BY 1) USING (value_raw)"""
+
+
+NUMBERS = rf"""WITH r AS (SELECT DISTINCT value_raw, {clean('value_raw')} AS t FROM facts WHERE value_type = 'numeric'),
+a AS (SELECT *, '(?:^|\s)(?:~|approx\.?|approximately|about|around|roughly|nearly|almost|circa|c\.)\s*' AS p1, '(?:^|\s)(?:over|more than|greater than|above|at least|in excess of|\+|>=|>)\s*' AS p2,
+  '(?:^|\s)(?:under|less than|below|up to|at most|fewer than|<=|<)\s*' AS p3 FROM r),
+b AS (SELECT value_raw, t, CASE WHEN regexp_matches(t, p3, 'i') THEN 'upper_bound' WHEN regexp_matches(t, p2, 'i') THEN 'lower_bound' WHEN regexp_matches(t, p1, 'i') THEN 'approximate' END AS bound,
+  regexp_replace(regexp_replace(regexp_replace(t, p1, ' ', 'gi'), p2, ' ', 'gi'), p3, ' ', 'gi') AS rest FROM a),
+n AS (SELECT *, TRY_CAST(replace(regexp_extract(rest, '(\d[\d,]*(?:\.\d+)?)\s*(?:-|to|and)\s*(\d[\d,]*(?:\.\d+)?)', 1, 'i'), ',', '') AS DOUBLE) AS low,
+  TRY_CAST(replace(regexp_extract(rest, '(\d[\d,]*(?:\.\d+)?)\s*(?:-|to|and)\s*(\d[\d,]*(?:\.\d+)?)', 2, 'i'), ',', '') AS DOUBLE) AS high,
+  TRY_CAST(regexp_replace(regexp_extract(rest, '[-+]?\d[\d,٬]*(?:\.\d+)?'), '[,٬+]', '', 'g') AS DOUBLE) AS one,
+  regexp_extract(t, '[-+]?\d[\d,٬]*(?:\.\d+)?') AS token,
+  regexp_matches(lower(t), 'f\.?y\.?\s*''?\d{{2}}|q[1-4]\s*[:\-]?\s*(?:of\s*)?(?:f\.?y|c\.?y|\d{{4}})|(?:c\.?y\.?|calendar\s+year)\s*\d{{4}}')
+    OR (regexp_matches(lower(t), '\d{{4}}\s*[-/]\s*\d{{2}}') AND NOT regexp_matches(lower(t), '\d\s*[-/]\s*\d+\s*(?:%|per cent)')) AS period FROM b),
+v AS (SELECT *, coalesce(high > low AND NOT period, false) AS ranged, regexp_matches(t, '^\s*(?:[$€£¥₹]|(?:rs|inr|usd|eur|gbp|jpy|aud|cad)\.?)?\s*\(\s*[-+]?[\d.,]', 'i') AS paren FROM n)
+SELECT value_raw, CASE WHEN ranged THEN (low + high) / 2 WHEN paren AND one > 0 THEN -one ELSE one END AS value, bound, coalesce(NOT ranged AND paren AND one > 0, false) AS negative,
+  CASE WHEN token <> '' THEN pow(10.0, -length(regexp_extract(token, '\.(\d+)$', 1))) END AS place FROM v"""
+
+
 def oracle_sql() -> dict[str, str]:
-    q: dict[str, str] = {"p6_found": P6_FOUND}
+    from factloom.plans import literals
+
+    q: dict[str, str] = literals.oracle_sql() | {"p6_found": P6_FOUND, "p6_common": P6_COMMON, "addresses": _addresses(), "parsed_numbers": NUMBERS}
+    q["scope_tags"] = f"WITH {_scopes('facts', 'fact_id')} SELECT coalesce(tags, '') AS tags, count(*) AS n FROM (SELECT DISTINCT fact_id FROM facts) LEFT JOIN scoped_tags USING (fact_id) GROUP BY 1"
+    q["export_documents"] = """SELECT CAST(to_json({'doc_id': doc_id, 'filename': filename, 'collection': collection, 'n_pages': n_pages}) AS VARCHAR) AS json FROM documents"""
+    q["document_status"] = f"""WITH {LATEST}, {RUNS} SELECT d.doc_id, d.status, (SELECT count(*) FROM lf WHERE lf.doc_id = d.doc_id) AS n_facts,
+  (SELECT count(*) FROM lf JOIN evidence e ON e.evidence_id = lf.evidence_id AND e.verified WHERE lf.doc_id = d.doc_id) AS n_verified, coalesce(r.n, 0) AS n_runs, coalesce(r.s, 0) AS n_stages,
+  coalesce(r.e, 0) AS n_errors, coalesce(r.i, 0) AS n_items
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, count(DISTINCT stage) AS s, CAST(sum(n_errors) AS BIGINT) AS e, CAST(sum(n_items) AS BIGINT) AS i FROM runs GROUP BY 1) r ON r.doc_id = d.doc_id"""
+    q["document_runs"] = f"WITH {RUNS} SELECT run_id, stage, n_items, n_errors, hits FROM runs WHERE doc_id = 1005"
+    q["recent_runs"] = f"WITH {RUNS} SELECT run_id, stage, n_calls, filename FROM (SELECT * FROM runs ORDER BY started_at DESC, run_id LIMIT 60) LEFT JOIN documents USING (doc_id)"
+    q["run_totals"] = f"WITH {RUNS} SELECT CAST(sum(n_calls) AS BIGINT) AS n_calls, CAST(coalesce(sum(hits), 0) AS BIGINT) AS cache_hits, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out FROM runs"
+    q["decoded_notes"] = "SELECT coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS k, count(*) AS n FROM events GROUP BY 1"
+    view = "JOIN documents d ON d.doc_id = f.doc_id"
+    q["fact_detail"] = f"""{LINKS} SELECT link_id, sides.fact_id, other, value_raw, title FROM sides
+LEFT JOIN (SELECT f.fact_id, value_raw, title FROM lf f {view}) c ON c.fact_id = other
+WHERE sides.fact_id IN (SELECT example_fact_id FROM predicate_registry UNION SELECT fact_a FROM links)"""
+    q["links_for_fact"] = f"{LINKS} SELECT link_id, fact_a, fact_b, confidence FROM links WHERE fact_a = (SELECT min(fact_a) FROM links) OR fact_b = (SELECT min(fact_a) FROM links)"
+    q["built_fact_ids"] = f"""WITH rows_ AS (SELECT *, row_number() OVER () AS rn FROM (SELECT f.doc_id, f.chunk_id, subject_raw, predicate, value_raw, period_label_raw, scope_tags, quote FROM facts f JOIN evidence USING (evidence_id))),
+{_scopes('rows_', 'rn')}, ids AS (
+  SELECT substr(sha256(doc_id || chr(0) || chunk_id || chr(0) || {subject('subject_raw')} || chr(0) || {predicate('predicate')} || chr(0) || lower({clean('value_raw')}) || chr(0) || lower({clean('period_label_raw')})
+    || chr(0) || coalesce(tags, '')), 1, 32) AS fact_id, quote FROM rows_ LEFT JOIN scoped_tags USING (rn))
+SELECT DISTINCT fact_id, substr(sha256(fact_id || chr(0) || coalesce(quote, '')), 1, 32) AS evidence_id FROM ids"""
+    q["facts_kept"] = f"WITH {LATEST} SELECT chunk_id, fact_id FROM lf WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY fact_id) <= 2"
+    q["dates_of_documents"] = "SELECT doc_id, TRY_CAST(regexp_extract(coalesce(CAST(as_of_date AS VARCHAR), title, filename), '^\\d{4}-\\d{2}-\\d{2}') AS DATE) AS day FROM documents"
+    q["document_exists"] = "SELECT doc_id, doc_id IN (SELECT doc_id FROM documents) AS found FROM (SELECT doc_id FROM facts UNION SELECT -i FROM range(5) t(i))"
+    q["cache_put"] = """WITH old AS (SELECT DISTINCT sha256(canonical_string) AS h FROM fact_embeddings WHERE canonical_string IS NOT NULL),
+n AS (SELECT DISTINCT sha256(coalesce(subject_canonical, '') || ' | ' || coalesce(predicate_canonical, '') || ' | ' || coalesce(period_label_raw, '') || ' | ' || coalesce(array_to_string(list_sort(scope_tags), ','), '')) AS h FROM facts)
+SELECT 'new' AS model, count(*) AS n, min(h) AS least FROM n UNION ALL SELECT 'old', count(*), min(h) FROM old WHERE h NOT IN (SELECT h FROM n)"""
     q["count_blocked_pairs"] = f"WITH {SCOPED} SELECT count(*) AS n_pairs FROM scoped a JOIN scoped b ON {BLOCK}"
     q["funnel_candidates"] = candidates() + " SELECT fact_a, fact_b, round(s, 6) AS similarity FROM best"
     new = "AND (a.doc_id IN (SELECT doc_id FROM documents WHERE parser_version = 'parse-2') OR b.doc_id IN (SELECT doc_id FROM documents WHERE parser_version = 'parse-2'))"
