@@ -165,7 +165,8 @@ def agreeing_pairs(rows: DataFrame, id_col: str, group_col: str, value_col: str,
     """Pairs ``(id_a, id_b)`` of one group whose values differ by at most ``tolerance`` of the larger in absolute value.
 
     A band join: values fall into bins of the tolerance's width on a log scale, and a pair that agrees is in equal or
-    neighbouring bins, so a group with a third of all rows is spread over its values and never paired as a whole. Null
+    neighbouring bins, so a group with a third of all rows is spread over its values. Facts that agree to within a bin are
+    pairs, all of them: that is the result asked for, and only it grows with their square. Null
     values and groups agree with nothing; zero agrees with zero only.
     """
     v = F.col("v")

@@ -52,7 +52,8 @@ def p6_common(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     facts = read_table(spark, d, "facts").withColumn("measure", F.col("qualifiers")["measure"]).filter("measure is not null")
-    return agreeing_pairs(common_quantities(facts, ("fact_id", "measure")), "fact_id", "measure", "quantity").toDF("fact_a", "fact_b")
+    quantities = materialise(common_quantities(facts, ("fact_id", "measure")).select("fact_id", "measure", "quantity").distinct(), "quantities")  # parsed once, read by both sides
+    return agreeing_pairs(quantities, "fact_id", "measure", "quantity").toDF("fact_a", "fact_b")
 
 
 # Pairs of facts --------------------------------------------------------------------------------------------------------

@@ -58,13 +58,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_or_shuffled(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if it is counted and found within ``limit`` rows, else leave it to a shuffle join.
+def small_or_shuffled(df: DataFrame, rows: int | None = None, limit: int | None = None) -> DataFrame:
+    """Mark ``df`` for broadcast if it is counted and found within ``limit`` rows (BROADCAST_ROWS), else leave it to a shuffle join.
 
     ``df`` should be a materialised table, so that the count reads footers only.
     """
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df.hint("shuffle_hash")
+    return F.broadcast(df) if n <= (BROADCAST_ROWS if limit is None else limit) else df.hint("shuffle_hash")
 
 
 def cores() -> int:

@@ -189,3 +189,56 @@ def test_agreeing_pairs_against_brute_force(spark, rows):
     want = {(a[0], b[0]) for a in data for b in data if a[0] < b[0] and a[1] and a[1] == b[1] and None not in (a[2], b[2]) and abs(a[2] - b[2]) <= 0.005 * max(abs(a[2]), abs(b[2]))}
     assert set(rows(quantities.agreeing_pairs(df, "id", "g", "v"))) == want
     assert quantities.agreeing_pairs(df.limit(0), "id", "g", "v").count() == 0
+
+
+def test_similar_names_against_brute_force(spark, rows):
+    from factloom.functions.fuzzy import ratio
+    from factloom.operators import namejoin
+
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdef"), int(rng.integers(2, 8))))
+    known = [" ".join(word() for _ in range(int(rng.integers(1, 5)))) for _ in range(60)]
+
+    def typed(s):
+        s = list(s)
+        for _ in range(int(rng.integers(0, 4))):
+            s.insert(int(rng.integers(0, len(s) + 1)), rng.choice(list("abcdef "))) if rng.random() < 0.5 or not s else s.pop(int(rng.integers(0, len(s))))
+        return "".join(s)
+
+    asked = [typed(rng.choice(known)) for _ in range(200)] + ["", None, "  "]
+    by_words = lambda s: " ".join(sorted(s.split()))
+    a = spark.createDataFrame([(x,) for x in asked * 2], "name string").withColumn("other", F.lit("clash"))
+    b = spark.createDataFrame([(x,) for x in known], "name string")
+    for least in (86.0, 92.0):
+        want = {(x, y) for x in asked if x and x.strip() for y in known if ratio(by_words(x), by_words(y)) >= least}
+        assert set(rows(namejoin.similar_names(a, b, least), "name", "other")) == want and want
+    assert namejoin.similar_names(a.limit(0), b).count() == 0
+
+
+def test_similar_vectors_in_tiles(spark, rows, monkeypatch):
+    from factloom.operators import namejoin
+
+    rng = np.random.default_rng(12)
+    x, y = rng.standard_normal((40, 4)), rng.standard_normal((50, 4))
+    a = spark.createDataFrame([(f"n{i}", v.tolist()) for i, v in enumerate(x)] + [("zero", [0.0] * 4), ("none", None), ("short", [1.0])], "name string, vec array<double>")
+    b = spark.createDataFrame([(f"e{i}", v.tolist()) for i, v in enumerate(y)], "entity_id string, vec array<double>")
+    s = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+    want = {(f"n{i}", f"e{j}") for i, j in zip(*np.nonzero(s >= 0.7))}
+    for tile, stream in ((20_000, 50_000), (7, 9)):
+        monkeypatch.setattr(namejoin, "TILE", tile)
+        monkeypatch.setattr(namejoin, "STREAM", stream)
+        assert set(rows(namejoin.similar_vectors(a, b, 0.7), "name", "entity_id")) == want
+
+
+def test_values_can_be_set_to_null(spark, rows):
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "id int, x string")
+    gone = spark.createDataFrame([(1, None)], "id int, x string")
+    assert rows(store.set_values(base, "id", gone)) == [(1, "a"), (2, "b")] and rows(store.set_values(base, "id", gone, nulls=True)) == [(1, None), (2, "b")]
+
+
+def test_many_quotes_of_one_source(spark, rows, monkeypatch):
+    monkeypatch.setattr(verify, "QUOTES", 7)
+    text = " ".join(f"sentence {i} stands here." for i in range(60))
+    q = spark.createDataFrame([(str(i), "k", f"sentence {i} stands here" if i % 3 else f"SENTENCE  {i} stands") for i in range(60)], "evidence_id string, k string, quote string")
+    got = rows(verify.verify_quotes(q, spark.createDataFrame([("k", text)], "k string, text string"), "k"), "evidence_id", "method")
+    assert got == sorted((str(i), "exact" if i % 3 else "normalized") for i in range(60))
