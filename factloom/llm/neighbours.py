@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,16 +56,60 @@ def unit(x: np.ndarray) -> np.ndarray:
     return y / np.sqrt((y * y).sum(1, keepdims=True))
 
 
+def _bytes_of(column: pa.Array, kind) -> np.ndarray:
+    """Rows of a binary column whose values are equally long, without an object a row."""
+    if not len(column):
+        return np.zeros((0, 1), kind)
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(column), -1)
+
+
 def vectors_of(column: pa.Array) -> np.ndarray:
     """Rows of a binary column of float32 numbers."""
-    data = column.to_pylist()
-    return np.frombuffer(b"".join(data), np.float32).reshape(len(data), -1) if data else np.zeros((0, 1), np.float32)
+    return _bytes_of(column, np.float32)
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], columns: dict[str, Callable[[pa.Array], np.ndarray]]) -> Iterator[dict[str, np.ndarray]]:
+    """The groups of batches sorted by ``keys``, each as arrays of its ``columns``; a group may run over several batches."""
+    held: list[dict[str, np.ndarray]] = []
+    at = None
+
+    def whole() -> dict[str, np.ndarray]:
+        return {c: np.concatenate([h[c] for h in held]) if len(held) > 1 else held[0][c] for c in columns}
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ks = [_numbers(b.column(k)) for k in keys]
+        cols = {c: f(b.column(c)) for c, f in columns.items()}
+        change = np.zeros(b.num_rows, bool)
+        for k in ks:
+            change[1:] |= k[1:] != k[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), b.num_rows]
+        for s, e in zip(cuts, cuts[1:]):
+            if at != (now := tuple(int(k[s]) for k in ks)):
+                if held:
+                    yield whole()
+                at, held = now, []
+            held.append({c: v[s:e] for c, v in cols.items()})
+    if held:
+        yield whole()
+
+
+def _edges(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s.astype(np.float32), pa.float32())], names=["a", "b", "s"])
 
 
 def _one_byte(x: np.ndarray) -> pa.Array:
     """The vectors scaled to one byte a number."""
     y = x.astype(np.float32) / np.abs(x).max(1, keepdims=True) if len(x) else x
-    return pa.array([r.tobytes() for r in np.rint(y * 127).astype(np.int8)], pa.binary())
+    data = np.ascontiguousarray(np.rint(y * 127).astype(np.int8))
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * data.shape[1]), pa.py_buffer(data)]) if len(x) else pa.array([], pa.binary())
 
 
 class Hasher:
@@ -158,72 +202,70 @@ def _top(sim: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([few[r], np.repeat(many, k)]), np.concatenate([c, top.ravel()])
 
 
-def as_units(q8: list[bytes]) -> np.ndarray:
+def as_units(q8: np.ndarray) -> np.ndarray:
     """Unit vectors of one byte a number."""
-    x = np.frombuffer(b"".join(q8), np.int8).reshape(len(q8), -1).astype(np.float32)
+    x = q8.astype(np.float32)
     return x / (np.sqrt((x * x).sum(1, keepdims=True)) + 1e-9)
 
 
-def _bucket_edges(nodes: list[bytes], q8: list[bytes], k: int, floor: float) -> tuple[list, list, list]:
+def _bucket_edges(nodes: np.ndarray, q8: np.ndarray, k: int, floor: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Each node's ``k`` best others of the bucket: (a, b, similarity)."""
-    first = {v: i for i, v in reversed(list(enumerate(nodes)))}
-    keep = sorted(first.values())
-    if len(keep) < 2:
-        return [], [], []
-    names = np.array([nodes[i] for i in keep], dtype=object)
-    x = as_units([q8[i] for i in keep])
-    a: list = []
-    b: list = []
-    out: list = []
-    for s in range(0, len(x), 512):
+    nodes, keep = np.unique(nodes, return_index=True)
+    x = as_units(q8[keep])
+    for s in range(0, len(x) if len(x) > 1 else 0, 512):
         sim = x[s : s + 512] @ x.T
         sim[np.arange(len(sim)), np.arange(s, s + len(sim))] = -3
         r, c = _top(sim, k, floor)
-        a += names[r + s].tolist()
-        b += names[c].tolist()
-        out += sim[r, c].tolist()
-    return a, b, out
+        yield nodes[r + s], nodes[c], sim[r, c]
 
 
-def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``at, x, new, q8, kth`` sorted by ``at``: compares the neighbours of each node with one another.
+def _best_of(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
+    """Rows of the ``k`` best different ``b`` of each ``a``."""
+    order = np.lexsort((b, -s, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])  # equal pairs have equal similarity and stand side by side
+    order, a = order[new], a[new]
+    first = np.ones(len(a), bool)
+    first[1:] = a[1:] != a[:-1]
+    rank = np.arange(len(a)) - np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
+    return order[rank < k]
+
+
+def _local_join(k: int):
+    """Arrow function on rows ``at, x, new, q8, kth``, sorted by ``at``: compares each node's neighbours.
 
     A pair is worth an edge to the side whose ``kth`` similarity it beats; pairs without a new neighbour were met before.
+    Of what one task finds for a node its ``k`` best are kept.
     """
-    out: tuple[list, list, list] = ([], [], [])
-
-    def join(names: list[bytes], new: list[bool], q8: list[bytes], kth: list[float]) -> None:
-        u = as_units(q8)
-        sim = u @ u.T
-        fresh = np.array(new)
-        low = np.array(kth, np.float32)
-        good = (sim > low[:, None]) & (fresh[:, None] | fresh[None, :])
-        np.fill_diagonal(good, False)
-        r, c = np.nonzero(good)
-        out[0].extend([names[i] for i in r])
-        out[1].extend([names[i] for i in c])
-        out[2].extend(sim[r, c].tolist())
-
-    def flush() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.float64())], names=["a", "b", "s"])
-        for o in out:
-            o.clear()
-        return batch
-
-    at, group = None, ([], [], [], [])
-    for batch in batches:
-        for key, *row in zip(*(batch.column(c).to_pylist() for c in ("at", "x", "new", "q8", "kth"))):
-            if key != at:
-                if len(group[0]) > 1:
-                    join(*group)
-                at, group = key, ([], [], [], [])
-            for g, v in zip(group, row):
-                g.append(v)
-        if len(out[0]) > 20_000:
-            yield flush()
-    if len(group[0]) > 1:
-        join(*group)
-    yield flush()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        columns = {"x": _numbers, "new": _numbers, "q8": lambda c: _bytes_of(c, np.int8), "kth": _numbers}
+        for g in _groups(batches, ("at",), columns):
+            x, at = np.unique(g["x"], return_index=True)
+            fresh = np.zeros(len(x), bool)
+            np.logical_or.at(fresh, np.searchsorted(x, g["x"]), g["new"].astype(bool))
+            if len(x) < 2 or not fresh.any():
+                continue
+            u, want = as_units(g["q8"][at]), g["kth"][at]
+            sim = u @ u.T
+            good = (sim > want[:, None]) & (fresh[:, None] | fresh[None, :])
+            np.fill_diagonal(good, False)
+            r, c = np.nonzero(good)
+            held.append((x[r], x[c], sim[r, c]))
+            size += len(r)
+            if size > 400_000:
+                a, b, s = (np.concatenate(h) for h in zip(*held))
+                keep = _best_of(a, b, s, k)
+                held, size = [], 0
+                yield _edges(a[keep], b[keep], s[keep])
+        if held:
+            a, b, s = (np.concatenate(h) for h in zip(*held))
+            keep = _best_of(a, b, s, k)
+            yield _edges(a[keep], b[keep], s[keep])
+
+    return run
 
 
 def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +281,7 @@ def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """(a, b) -> (a, b, s): exact cosine."""
     va, vb = vectors.select(F.col("node").alias("a"), F.col("vec").alias("va")), vectors.select(F.col("node").alias("b"), F.col("vec").alias("vb"))
-    return pairs.join(va, "a").join(vb, "b").select("a", "b", "va", "vb").mapInArrow(_similarity, "a binary, b binary, s double")
+    return pairs.join(va, "a").join(vb, "b").select("a", "b", "va", "vb").mapInArrow(_similarity, "a bigint, b bigint, s double")
 
 
 def _best(edges: DataFrame, k: int, by: str = "a", other: str = "b") -> DataFrame:
@@ -247,34 +289,44 @@ def _best(edges: DataFrame, k: int, by: str = "a", other: str = "b") -> DataFram
     return edges.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 
 
+def _top_distinct(edges: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best different ``b`` of each ``a``, by one shuffle: a pair given twice has one similarity and so one rank."""
+    w = Window.partitionBy("a").orderBy(F.desc("s"), "b")
+    ranked = edges.withColumn("_r", F.dense_rank().over(w)).filter(F.col("_r") <= k)
+    return ranked.groupBy("a", "b").agg(F.max("s").alias("s"), F.min("new").alias("new"))
+
+
 def usable_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
-    """Materialised ``id, node, vec, first``: ``node`` is the vector's digest, ``first`` marks one row of equal ones a batch."""
+    """Materialised ``id, node, vec, first``: ``node`` is the vector's digest, ``first`` marks one row of equal ones a batch.
+
+    The digest has 64 bits: among a hundred million different vectors two share one with a probability of 0.03%.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, x = usable(b.column("vec"), dim)
             x = x + np.float32(0)  # one zero
             data = [r.tobytes() for r in x]
-            node = [hashlib.md5(d).digest() for d in data]
+            node = [int.from_bytes(hashlib.md5(d).digest()[:8], "little", signed=True) for d in data]
             seen: set[bytes] = set()
             first = [not (n in seen or seen.add(n)) for n in node]
             yield pa.RecordBatch.from_arrays(
-                [b.column("id").take(pa.array(rows, pa.int64())), pa.array(node, pa.binary()), pa.array([d if f else None for d, f in zip(data, first)], pa.binary()), pa.array(first, pa.bool_())],
+                [b.column("id").take(pa.array(rows, pa.int64())), pa.array(node, pa.int64()), pa.array([d if f else None for d, f in zip(data, first)], pa.binary()), pa.array(first, pa.bool_())],
                 names=["id", "node", "vec", "first"],
             )
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).filter(F.col("id").isNotNull() & F.col("vec").isNotNull())
-    return materialise(rows.mapInArrow(read, f"id {kind}, node binary, vec binary, first boolean"), "vectors")
+    return materialise(rows.mapInArrow(read, f"id {kind}, node bigint, vec binary, first boolean"), "vectors")
 
 
 def neighbour_graph(
-    held: DataFrame, dim: int, k: int = 8, floor: float | None = None, tables: int = 6, rounds: int | None = None, tolerance: float = 0.002, seed: int = 7
+    held: DataFrame, dim: int, k: int = 8, floor: float | None = None, tables: int = 6, rounds: int | None = None, tolerance: float = 0.002, seed: int = 7, report: list | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(edges ``a, b, s``: each node's ``k`` best other nodes found; vectors ``node, vec``: all, with ``floor`` those of nodes with edges).
 
     The descent goes on until at most ``tolerance`` of the edges change, or for ``rounds`` if given. Each round only replaces
-    edges by better ones, so it ends.
+    edges by better ones, so it ends. ``report`` takes (changed, all) edges of each round.
 
     With ``floor``, edges below that cosine are left out from the start. ``held`` is what ``usable_vectors`` gives.
     """
@@ -335,7 +387,7 @@ def neighbour_graph(
                 continue
             q8 = _one_byte(x)
             node = b.column("node")
-            salt = np.array([int.from_bytes(v[:8], "big") for v in node.to_pylist()], np.uint64)
+            salt = _numbers(node).astype(np.uint64)
             if floor is None:  # a row that is alone in all its buckets starts from random others
                 anywhere = -1 - (_mixed(salt, tables) >> 1 & 0x7FFFFFFF) % max(1, n // DENSE)
                 yield pa.RecordBatch.from_arrays([pa.array(anywhere), pa.array(np.zeros(len(x), np.int32)), node, q8], names=["bucket", "piece", "node", "q8"])
@@ -346,26 +398,13 @@ def neighbour_graph(
                 yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(piece), node.take(take), q8.take(take)], names=["bucket", "piece", "node", "q8"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, nodes, q8 = None, [], []
-
-        def flush():
-            a, b, sim = _bucket_edges(nodes, q8, k, low)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(sim, pa.float64())], names=["a", "b", "s"])
-
-        for batch in batches:
-            for key, piece, node, q in zip(*(batch.column(c).to_pylist() for c in ("bucket", "piece", "node", "q8"))):
-                if (key, piece) != at:
-                    if len(nodes) > 1:
-                        yield flush()
-                    at, nodes, q8 = (key, piece), [], []
-                nodes.append(node)
-                q8.append(q)
-        if len(nodes) > 1:
-            yield flush()
-
-    buckets = firsts.mapInArrow(spread, "bucket bigint, piece int, node binary, q8 binary").repartition("bucket", "piece").sortWithinPartitions("bucket", "piece")
-    met = buckets.mapInArrow(meet, "a binary, b binary, s double").groupBy("a", "b").agg(F.max("s").alias("s"))
-    graph = materialise(_best(met, k).withColumn("new", F.lit(True)), "graph-0")
+        for g in _groups(batches, ("bucket", "piece"), {"node": _numbers, "q8": lambda c: _bytes_of(c, np.int8)}):
+            for a, b, s in _bucket_edges(g["node"], g["q8"], k, low):
+                yield _edges(a, b, s)
+
+    buckets = firsts.mapInArrow(spread, "bucket bigint, piece int, node bigint, q8 binary").repartition("bucket", "piece").sortWithinPartitions("bucket", "piece")
+    met = buckets.mapInArrow(meet, "a bigint, b bigint, s float").withColumn("new", F.lit(True))
+    graph = materialise(_top_distinct(met, k), "graph-0")
     wanted = firsts
     if floor is not None:
         nodes = materialise(graph.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
@@ -376,19 +415,23 @@ def neighbour_graph(
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("node"), _one_byte(vectors_of(b.column("vec")))], names=["node", "q8"])
 
-    small = materialise(vectors.mapInArrow(shrink, "node binary, q8 binary"), "node-bytes")
+    small = materialise(vectors.mapInArrow(shrink, "node bigint, q8 binary"), "node-bytes")
+    side = Window.partitionBy("at", "back").orderBy(F.desc("s"), "x")
     for i in itertools.count() if rounds is None else range(rounds):
-        out = graph.select(F.col("a").alias("at"), F.col("b").alias("x"), "s", "new")
-        back = _best(graph, k, "b", "a").select(F.col("b").alias("at"), F.col("a").alias("x"), "s", "new")
-        near = out.unionByName(back).groupBy("at", "x").agg(F.max("new").alias("new"))
-        kth = graph.groupBy("a").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(low).alias("kth"))
-        known = small.join(kth, small["node"] == kth["a"], "left").select("node", "q8", F.coalesce("kth", F.lit(low)).alias("kth"))
+        out = graph.select(F.col("a").alias("at"), F.col("b").alias("x"), "s", "new", F.lit(False).alias("back"))
+        back = graph.select(F.col("b").alias("at"), F.col("a").alias("x"), "s", "new", F.lit(True).alias("back"))
+        # a node's reverse neighbours are kept to the best k; both kinds meet in one shuffle by the node
+        near = out.unionByName(back).withColumn("_r", F.row_number().over(side)).filter(F.col("_r") <= k)
+        near = near.withColumn("any", F.max("new").over(Window.partitionBy("at"))).filter("any").select("at", "x", "new")  # nothing new to compare elsewhere
+        kth = graph.groupBy("a").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(low).cast("float").alias("kth"))
+        known = small.join(kth, small["node"] == kth["a"], "left").select("node", "q8", F.coalesce("kth", F.lit(low).cast("float")).alias("kth"))
         rows = near.join(known, near["x"] == known["node"]).select("at", "x", "new", "q8", "kth")
-        met = rows.repartition("at").sortWithinPartitions("at").mapInArrow(_local_join, "a binary, b binary, s double")
-        fresh = met.groupBy("a", "b").agg(F.max("s").alias("s")).withColumn("new", F.lit(True))
-        merged = graph.withColumn("new", F.lit(False)).unionByName(fresh).groupBy("a", "b").agg(F.max("s").alias("s"), F.min("new").alias("new"))
-        graph = materialise(_best(merged, k), f"graph-{i + 1}")
+        met = rows.repartition("at").sortWithinPartitions("at").mapInArrow(_local_join(k), "a bigint, b bigint, s float")
+        merged = graph.withColumn("new", F.lit(False)).select("a", "b", "s", "new").unionByName(met.withColumn("new", F.lit(True)))
+        graph = materialise(_top_distinct(merged, k), f"graph-{i + 1}")
         changed, total = graph.agg(F.count_if("new"), F.count("*")).first()
+        if report is not None:
+            report.append((changed, total))
         if changed <= tolerance * total:
             break
     pairs = graph.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -454,7 +497,7 @@ def greedy_search(
 
     kind = queries.schema["qid"].dataType.simpleString()
     per = Window.partitionBy("bucket").orderBy("node")
-    homes = vectors.select("node", "vec").mapInArrow(bucket("node"), "node binary, bucket bigint").withColumn("_r", F.row_number().over(per)).filter(F.col("_r") <= entries).drop("_r")
+    homes = vectors.select("node", "vec").mapInArrow(bucket("node"), "node bigint, bucket bigint").withColumn("_r", F.row_number().over(per)).filter(F.col("_r") <= entries).drop("_r")
     starts = queries.select("qid", "vec").mapInArrow(bucket("qid"), f"qid {kind}, bucket bigint").join(homes, "bucket").select("qid", "node")
     anyone = F.broadcast(vectors.select("node").orderBy(F.xxhash64("node")).limit(4))
     starts = starts.unionByName(qv.select("qid").crossJoin(anyone).select("qid", "node")).distinct()
@@ -468,7 +511,7 @@ def greedy_search(
 
     def measured(pairs: DataFrame) -> DataFrame:
         rows = pairs.join(vectors, "node").join(qv, "qid").select("qid", "node", "qvec", "vec")
-        return rows.mapInArrow(compare, f"qid {kind}, node binary, s double")
+        return rows.mapInArrow(compare, f"qid {kind}, node bigint, s double")
 
     def best(rows: DataFrame, m: int) -> DataFrame:
         w = Window.partitionBy("qid").orderBy(F.desc("s"), "node")
