@@ -160,7 +160,7 @@ def _addresses() -> str:
 
     words = ", ".join(f"('{a.upper()}', '{n.upper()}')" for a, n in ADDRESS_WORDS.items())
     return rf"""WITH w(short, long) AS (VALUES {words}), a AS (SELECT DISTINCT value_raw, upper({clean('value_raw')}) AS t FROM facts WHERE predicate_canonical = 'registered_address'),
-p AS (SELECT *, regexp_extract(t, '(\d{{6}}|\d{{5}}(?:-\d{{4}})?|[A-Z]{{1,2}}\d[A-Z\d]?\s*\d[A-Z]{{2}})', 1) AS code FROM a),
+p AS (SELECT *, regexp_extract(t, '\b(\d{{6}}|\d{{5}}(?:-\d{{4}})?|[A-Z]{{1,2}}\d[A-Z\d]?\s*\d[A-Z]{{2}})\b', 1) AS code FROM a),
 word AS (SELECT value_raw, unnest(string_split(regexp_replace(CASE WHEN code = '' THEN t ELSE replace(t, code, ' ') END, '[^A-Z0-9 ]+', ' ', 'g'), ' ')) AS x, unnest(range(length(t) + 2)) AS i FROM p)
 SELECT p.value_raw, coalesce(n, '') AS normalized, nullif(regexp_replace(code, '\s+', '', 'g'), '') AS postal_code FROM p
 LEFT JOIN (SELECT value_raw, string_agg(coalesce(long, x), ' ' ORDER BY i) AS n FROM word LEFT JOIN w ON short = x WHERE x <> '' GROUP BY 1) USING (value_raw)"""
@@ -175,17 +175,75 @@ n AS (SELECT *, TRY_CAST(replace(regexp_extract(rest, '(\d[\d,]*(?:\.\d+)?)\s*(?
   TRY_CAST(replace(regexp_extract(rest, '(\d[\d,]*(?:\.\d+)?)\s*(?:-|to|and)\s*(\d[\d,]*(?:\.\d+)?)', 2, 'i'), ',', '') AS DOUBLE) AS high,
   TRY_CAST(regexp_replace(regexp_extract(rest, '[-+]?\d[\d,٬]*(?:\.\d+)?'), '[,٬+]', '', 'g') AS DOUBLE) AS one,
   regexp_extract(t, '[-+]?\d[\d,٬]*(?:\.\d+)?') AS token,
-  regexp_matches(lower(t), 'f\.?y\.?\s*''?\d{{2}}|q[1-4]\s*[:\-]?\s*(?:of\s*)?(?:f\.?y|c\.?y|\d{{4}})|(?:c\.?y\.?|calendar\s+year)\s*\d{{4}}')
-    OR (regexp_matches(lower(t), '\d{{4}}\s*[-/]\s*\d{{2}}') AND NOT regexp_matches(lower(t), '\d\s*[-/]\s*\d+\s*(?:%|per cent)')) AS period FROM b),
+  regexp_matches(lower(t), '\bf\.?y\.?\s*''?\d{{2}}|\bq[1-4]\s*[:\-]?\s*(?:of\s*)?(?:f\.?y|c\.?y|\d{{4}})|\b(?:c\.?y\.?|calendar\s+year)\s*\d{{4}}\b')
+    OR (regexp_matches(lower(t), '\b\d{{4}}\s*[-/]\s*\d{{2}}\b') AND NOT regexp_matches(lower(t), '\d\s*[-/]\s*\d+\s*(?:%|per cent)')) AS period FROM b),
 v AS (SELECT *, coalesce(high > low AND NOT period, false) AS ranged, regexp_matches(t, '^\s*(?:[$€£¥₹]|(?:rs|inr|usd|eur|gbp|jpy|aud|cad)\.?)?\s*\(\s*[-+]?[\d.,]', 'i') AS paren FROM n)
 SELECT value_raw, CASE WHEN ranged THEN (low + high) / 2 WHEN paren AND one > 0 THEN -one ELSE one END AS value, bound, coalesce(NOT ranged AND paren AND one > 0, false) AS negative,
   CASE WHEN token <> '' THEN pow(10.0, -length(regexp_extract(token, '\.(\d+)$', 1))) END AS place FROM v"""
 
 
+PERIODS = r"""
+WITH l AS (SELECT DISTINCT period_label_raw AS label FROM facts),
+p AS (SELECT label, TRY_CAST(regexp_extract(label, '^[QH](\d) ', 1) AS INTEGER) AS part, CASE WHEN label LIKE 'Q%' THEN 3 ELSE 6 END AS width, TRY_CAST(regexp_extract(label, '^(\d+)M ', 1) AS INTEGER) AS months,
+  regexp_replace(label, '^(?:[QH]\d|\d+M) ', '') AS base,
+  CAST(coalesce(try_strptime(label, 'as at %B %d, %Y'), try_strptime(label, 'as of %d %B %Y')) AS DATE) AS day, CAST(try_strptime('1 ' || label, '%d %B %Y') AS DATE) AS month FROM l),
+y AS (SELECT *, regexp_matches(base, '^FY|^\d{4}-\d{2}$') AS fiscal,
+  CASE WHEN regexp_matches(base, '^FY\d{2}$') THEN 2000 + CAST(right(base, 2) AS INTEGER) WHEN regexp_matches(base, '-\d{2}$') THEN CAST(regexp_extract(base, '(\d{4})-', 1) AS INTEGER) + 1
+    ELSE TRY_CAST(regexp_extract(base, '^(?:CY)?(\d{4})$', 1) AS INTEGER) END AS ends FROM p),
+b AS (SELECT *, CASE WHEN fiscal THEN make_date(ends - 1, 4, 1) ELSE make_date(ends, 1, 1) END AS first FROM y)
+SELECT label AS period_label_raw,
+  CASE WHEN day IS NOT NULL THEN day WHEN month IS NOT NULL THEN month WHEN part IS NOT NULL THEN CAST(first + to_months((part - 1) * width) AS DATE) ELSE first END AS start,
+  CASE WHEN day IS NOT NULL THEN day WHEN month IS NOT NULL THEN last_day(month) WHEN part IS NOT NULL THEN last_day(CAST(first + to_months(part * width - 1) AS DATE))
+    WHEN months IS NOT NULL THEN last_day(CAST(first + to_months(months - 1) AS DATE)) WHEN first IS NOT NULL THEN last_day(CAST(first + to_months(11) AS DATE)) END AS "end",
+  CASE WHEN day IS NOT NULL THEN 'point_in_time' WHEN month IS NOT NULL THEN 'calendar' WHEN first IS NULL THEN 'unknown' WHEN fiscal THEN 'fiscal_in' ELSE 'calendar' END AS basis
+FROM b
+"""
+
+
+def _normalized() -> str:
+    """Number, scale, unit and currency of each value by the tables' names: the longest name that stands in the text, of equal ones the first."""
+    from factloom.functions.tables import COMPOUND_MAGNITUDES, LETTER_MAGNITUDES, MAGNITUDES, UNITS
+
+    lit = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def pattern(a: str) -> str:
+        if a in LETTER_MAGNITUDES:
+            return rf"\d\s{{0,4}}{a}\b"
+        body = "".join("\\" + c if c in r"\.^$|?*+()[]{}" else c for c in a)
+        return f"(?:^|[^a-z]){body}(?:$|[^a-z])" if a.isalpha() else body
+
+    known: dict[str, tuple] = {}
+    for aliases, name, dim, factor in UNITS:
+        for a in aliases:
+            known.setdefault(a, (name, dim, float(factor)))
+    units = ", ".join(f"({lit(a)}, {lit(pattern(a))}, {lit(n)}, {lit(d)}, CAST({f!r} AS DOUBLE))" for a, (n, d, f) in known.items())
+    scales = ", ".join(f"({lit(a)}, {lit(pattern(a))}, CAST({f!r} AS DOUBLE), 0)" for a, f in MAGNITUDES.items())
+    pairs = ", ".join(f"({lit(a)}, {lit(chr(92) + 'b' + a + chr(92) + 'b')}, CAST({f!r} AS DOUBLE), 1)" for a, f in COMPOUND_MAGNITUDES.items())
+    numbers = NUMBERS.replace("WITH r AS (SELECT DISTINCT value_raw,", "r AS (SELECT DISTINCT value_raw,").replace(" FROM facts WHERE value_type = 'numeric')", " FROM facts)")
+    head, _, tail = numbers.rpartition("SELECT value_raw, CASE WHEN ranged")
+    return rf"""WITH unit(alias, p, name, dim, factor) AS (VALUES {units}), scale(alias, p, factor, two) AS (VALUES {scales}, {pairs}),
+f AS (SELECT DISTINCT value_raw, unit_raw, value_type, lower({clean("concat_ws(' ', nullif(value_raw, ''), nullif(unit_raw, ''))")}) AS vu, lower({clean("concat_ws(' ', nullif(unit_raw, ''), nullif(value_raw, ''))")}) AS uv FROM facts),
+{head.rstrip()}, num AS (SELECT value_raw, CASE WHEN ranged{tail.replace("FROM v", ", CASE WHEN ranged THEN low END AS range_low, CASE WHEN ranged THEN high END AS range_high FROM v")}),
+vus AS (SELECT DISTINCT vu FROM f), uvs AS (SELECT DISTINCT uv FROM f),
+m AS (SELECT vu, arg_max(alias, [two, length(alias), -strpos(vu, alias)]) AS label, arg_max(factor, [two, length(alias), -strpos(vu, alias)]) AS factor FROM vus JOIN scale ON regexp_matches(vu, p) GROUP BY 1),
+u AS (SELECT uv, arg_max({{'n': name, 'd': dim, 'f': unit.factor}}, [length(alias), -strpos(uv, alias)]) AS u FROM uvs JOIN unit ON regexp_matches(uv, p) GROUP BY 1),
+x AS (
+  SELECT f.*, num.* EXCLUDE (value_raw), coalesce(m.factor, 1.0) AS factor, m.label, u.u, CASE
+    WHEN regexp_matches(vu, '₹|\brs\.?(\b|$)|\brs\.|\binr\b|\brupees?\b') THEN 'INR' WHEN regexp_matches(vu, '\bus\s*\$|\busd\b|\bus\s*dollars?\b|\$') THEN 'USD' WHEN regexp_matches(vu, '€|\beur\b') THEN 'EUR'
+    WHEN regexp_matches(vu, '£|\bgbp\b') THEN 'GBP' WHEN regexp_matches(vu, '¥|\bjpy\b') THEN 'JPY' END AS currency
+  FROM f LEFT JOIN num ON num.value_raw IS NOT DISTINCT FROM f.value_raw LEFT JOIN m USING (vu) LEFT JOIN u USING (uv)
+), y AS (SELECT *, currency IS NOT NULL AND NOT regexp_matches(vu, '%|per cent|percent') AS paid, value_type = 'numeric' AS is_n FROM x),
+z AS (SELECT *, CASE WHEN paid THEN currency ELSE u.n END AS unit_name, CASE WHEN paid THEN 'currency' ELSE u.d END AS dim, CASE WHEN paid THEN 1.0 ELSE coalesce(u.f, 1.0) END AS base FROM y),
+k AS (SELECT *, coalesce(dim = 'ratio', false) AS ratio, CASE WHEN coalesce(dim = 'ratio', false) THEN 1.0 ELSE factor END AS by_ FROM z)
+SELECT value_raw, unit_raw, value_type, CASE WHEN is_n THEN value * by_ END AS value_num, {clean('value_raw')} AS value_text, unit_name AS unit_canonical, dim AS unit_dimension, CAST(base AS DOUBLE) AS unit_to_base,
+  CASE WHEN is_n THEN CAST(by_ AS DOUBLE) END AS magnitude, CASE WHEN is_n AND NOT ratio THEN label END AS magnitude_label, currency, CASE WHEN is_n THEN bound END AS bound,
+  CASE WHEN is_n THEN range_low * by_ END AS range_low, CASE WHEN is_n THEN range_high * by_ END AS range_high FROM k"""
+
+
 def oracle_sql() -> dict[str, str]:
     from factloom.plans import literals
 
-    q: dict[str, str] = literals.oracle_sql() | {"p6_found": P6_FOUND, "p6_common": P6_COMMON, "addresses": _addresses(), "parsed_numbers": NUMBERS}
+    q: dict[str, str] = literals.oracle_sql() | {"p6_found": P6_FOUND, "p6_common": P6_COMMON, "addresses": _addresses(), "parsed_numbers": NUMBERS, "parsed_periods": PERIODS, "normalized_values": _normalized()}
     q["scope_tags"] = f"WITH {_scopes('facts', 'fact_id')} SELECT coalesce(tags, '') AS tags, count(*) AS n FROM (SELECT DISTINCT fact_id FROM facts) LEFT JOIN scoped_tags USING (fact_id) GROUP BY 1"
     q["export_documents"] = """SELECT CAST(to_json({'doc_id': doc_id, 'filename': filename, 'collection': collection, 'n_pages': n_pages}) AS VARCHAR) AS json FROM documents"""
     q["document_status"] = f"""WITH {LATEST}, {RUNS} SELECT d.doc_id, d.status, (SELECT count(*) FROM lf WHERE lf.doc_id = d.doc_id) AS n_facts,
