@@ -462,6 +462,36 @@ def most_similar(
     return _best(flat, k, "id", "other")
 
 
+def measured_recall(df: DataFrame, near: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, asked: int = 200) -> DataFrame:
+    """``n_asked, recall``: how many of the true ``k`` nearest of ``asked`` rows (those of the smallest id hashes) ``near`` has.
+
+    ``near`` is what ``most_similar`` gives. The rows asked for are a bounded sample, for the measure only; they are compared with
+    every row of the table. Of rows equally similar to the k-th any counts.
+    """
+    held = usable_vectors(df, id_col, vec_col, dim)
+    ids = held.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(asked)
+    firsts = held.filter("first").select("node", "vec").dropDuplicates(["node"])
+    picked = held.join(F.broadcast(ids), "id").select("id", "node").distinct().join(firsts, "node").toArrow()  # at most ``asked`` rows
+    names, own = picked.column("id").to_pylist(), unit(vectors_of(picked.column("vec").combine_chunks())) if picked.num_rows else np.zeros((0, dim))
+    kind = df.schema[id_col].dataType.simpleString()
+    id_type = picked.schema.field("id").type
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, x = usable(b.column("vec"), dim)
+            if not len(rows) or not len(names):
+                continue
+            s = own @ unit(x).T
+            r, c = _top(s, min(k + 1, s.shape[1]), -2.0)
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in r.tolist()], id_type), b.column("id").take(pa.array(rows[c])), pa.array(s[r, c])], names=["id", "other", "s"])
+
+    every = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).filter("id is not null and vec is not null").mapInArrow(compare, f"id {kind}, other {kind}, s double")
+    best = _best(every.filter("id <> other").groupBy("id", "other").agg(F.max("s").alias("s")), k, "id", "other")
+    truth = best.groupBy("id").agg(F.min("s").alias("kth"), F.count("*").alias("n"))
+    got = near.join(F.broadcast(truth), "id").groupBy("id").agg(F.count_if(F.col("s") >= F.col("kth") - 1e-6).alias("hit"))
+    return truth.join(got, "id", "left").agg(F.count("*").alias("n_asked"), (F.sum(F.coalesce("hit", F.lit(0))) / F.sum("n")).alias("recall"))
+
+
 def similar_pairs(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5, floor: float = 0.9) -> DataFrame:
     """``id_a < id_b``: one is among the other's ``k`` most similar, with a cosine of at least ``floor``.
 

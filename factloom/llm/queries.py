@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factloom.llm.leak import leak_report, leaked_items, remove_leaks
 from factloom.llm.lines import block_runs, clean_pages, repeated_lines
 from factloom.llm.names import link_names
-from factloom.llm.neighbours import greedy_search, most_similar, neighbour_graph, other_rows, similar_pairs, usable_vectors
+from factloom.llm.neighbours import greedy_search, measured_recall, most_similar, neighbour_graph, other_rows, similar_pairs, usable_vectors
 from factloom.llm.packing import lower_bound, pack
 from factloom.llm.spans import document_groups, document_pairs, document_spans, shared_coverage, shared_windows
 from factloom.llm.split import byte_sizes, split_items
@@ -37,6 +37,16 @@ def p1_nearest(spark: SparkSession, d: str) -> DataFrame:
     return near[0].unionByName(near[1]).select("id", "other", F.round("s", 6).alias("similarity"))
 
 
+def p1_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether p1_nearest's lists hold at least nine of ten true neighbours, measured against all rows of either table."""
+    out = []
+    for t, i in (("fact_embeddings", "fact_id"), ("entities", "entity_id")):
+        rows = read_table(spark, d, t)
+        near = materialise(most_similar(rows, i, "embedding", DIM, graph_k=14), "nearest")
+        out.append(measured_recall(rows, near, i, "embedding", DIM).select(F.lit(t).alias("source"), "n_asked", (F.col("recall") >= 0.9).alias("reached")))
+    return out[0].unionByName(out[1])
+
+
 def p1_search(spark: SparkSession, d: str) -> DataFrame:
     """Greedy search on the graph for one fact in a hundred (by its id's checksum) against all others: its five nearest rows."""
     held = usable_vectors(read_table(spark, d, "fact_embeddings"), "fact_id", "embedding", DIM)
@@ -138,5 +148,5 @@ def p9_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (p1_found, p1_nearest, p1_search, p2_found, p2_blocks, p2_clean, p3_found, p3_tokens, p4_found, p5_found, p7_found, p7_pack, p7_fill, p8_found, p8_clean, p9_found, p9_coverage, p9_groups)
+    named = (p1_found, p1_nearest, p1_recall, p1_search, p2_found, p2_blocks, p2_clean, p3_found, p3_tokens, p4_found, p5_found, p7_found, p7_pack, p7_fill, p8_found, p8_clean, p9_found, p9_coverage, p9_groups)
     return {f.__name__: f for f in named}

@@ -16,6 +16,13 @@ SELECT least(a, b) AS id_a, greatest(a, b) AS id_b FROM (
     for t, i in (("fact_embeddings", "fact_id"), ("entities", "entity_id"))
 )
 
+P1_RECALL = " UNION ALL ".join(
+    f"""
+SELECT '{t}' AS source, least(200, count(DISTINCT {i})) AS n_asked, true AS reached FROM {t}
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda z: isnan(z))) = 0 AND len(list_filter(embedding, lambda z: z <> 0)) > 0"""
+    for t, i in (("fact_embeddings", "fact_id"), ("entities", "entity_id"))
+)
+
 _REPEATED = r"""
 WITH RECURSIVE line AS (
   SELECT DISTINCT p.doc_id, p.page_index, d.collection, CAST(l.i - 1 AS INTEGER) AS line_no,
@@ -125,4 +132,4 @@ FROM (SELECT DISTINCT doc_id, text FROM documents) d LEFT JOIN t USING (text) LE
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_blocks": P2_BLOCKS, "p2_clean": P2_CLEAN, "p3_found": P3_FOUND, "p7_found": P7_FOUND, "p7_fill": P7_FILL, "p8_found": P8_FOUND, "p9_found": P9_FOUND, "p9_coverage": P9_COVERAGE, "p9_groups": P9_GROUPS}
+    return {"p1_found": P1_FOUND, "p1_recall": P1_RECALL, "p2_found": P2_FOUND, "p2_blocks": P2_BLOCKS, "p2_clean": P2_CLEAN, "p3_found": P3_FOUND, "p7_found": P7_FOUND, "p7_fill": P7_FILL, "p8_found": P8_FOUND, "p9_found": P9_FOUND, "p9_coverage": P9_COVERAGE, "p9_groups": P9_GROUPS}

@@ -83,6 +83,18 @@ def test_repeated_lines(spark, rows):
     assert lines.repeated_lines(p.limit(0), d).occurrences.count() == 0
 
 
+def test_lines_without_broadcast(spark, rows, monkeypatch):
+    """One hot line in a third of all pages; both plans give the same occurrences."""
+    from factloom import session
+
+    hot, rare = "This line stands on very many of the pages", "This other line stands on a few of the pages"
+    pages = [(i, 0, f"own words {'abcdefghij'[i % 10] * 12} {'xyz'[i % 3] * (5 + i)}\n" + (hot if i % 3 == 0 else rare if i % 7 == 1 else "")) for i in range(120)]
+    p, d = spark.createDataFrame(pages, "doc_id bigint, page_index int, text string"), spark.createDataFrame([(i, "c") for i in range(120)], "doc_id bigint, collection string")
+    one = rows(lines.repeated_lines(p, d).occurrences, "doc_id", "line_no")
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    assert rows(lines.repeated_lines(p, d).occurrences, "doc_id", "line_no") == one and len(one) > 40
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -375,6 +387,19 @@ def test_neighbours(spark, rows):
     assert neighbours.similar_pairs(df.limit(0), "fid", "v", 16).count() == 0
 
 
+def test_measured_recall(spark):
+    x = planted(120, 5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "fid bigint, v array<double>")
+    u = neighbours.unit(x.astype(np.float32))
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    near = [(i, int(j), float(s[i, j])) for i in range(120) for j in np.argsort(-s[i])[:5]]
+    whole = spark.createDataFrame(near, "id bigint, other bigint, s double")
+    got = neighbours.measured_recall(df, whole, "fid", "v", 16, asked=50).first()
+    assert got.n_asked == 50 and got.recall == 1.0
+    assert neighbours.measured_recall(df, whole.filter("id % 2 = 0"), "fid", "v", 16, asked=120).first().recall == 0.5
+
+
 def test_hot_bucket_is_split(spark):
     rng = np.random.default_rng(8)
     x = rng.standard_normal(16) + 0.05 * rng.standard_normal((500, 16))
