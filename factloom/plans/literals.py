@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import fuzzy, number, period, subject, text
 from factloom.operators import chunking, entities, facts, judge, rules, verify
-from factloom.session import ship
+from factloom.session import materialise, ship
 
 _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 _SQL = {"string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE", "int": "INTEGER", "bigint": "BIGINT"}
@@ -494,7 +494,7 @@ def _paired(df: DataFrame) -> DataFrame:
 ])
 def literal_rules(df):
     said = F.create_map(*[F.lit(x) for i, p in enumerate(PAIRS) if p[6] for x in (i, p[6])])
-    got = _paired(df)
+    got = materialise(_paired(df), "decided")
     return got.withColumns({"said": F.col("explanation").isNotNull() & F.coalesce(F.col("explanation") == F.try_element_at(said, F.col("case_no")), F.lit(True)), "last": F.element_at("trace", -1)["outcome"]})
 
 
@@ -517,7 +517,7 @@ def literal_judged(df):
     spark = df.sparkSession
     sides = [fact(f"{i:03d}{s}", **PAIRS[i][k]) for i in range(len(PAIRS)) for k, s in enumerate("ab")]
     view = spark.createDataFrame(sides, FACT).select("*", F.lit("Acme").alias("subject_raw"), F.lit("A report").alias("document_title"), F.lit("f.pdf").alias("filename"), F.lit(None).cast("date").alias("as_of_date"), F.lit(3).alias("page_index"), F.lit("said so").alias("quote"))
-    _, residue = rules.storable_links(_paired(df).drop("case_no"))
+    _, residue = rules.storable_links(materialise(_paired(df).drop("case_no"), "decided"))
     got = judge.judge_residue(residue, view, _stub, "stub", "v1")
     number_of = F.create_map(*[F.lit(x) for k, i in enumerate(_OPEN) for x in (f"{i:03d}a", k)])
     return got.select(number_of[F.col("fact_a")].alias("case_no"), "relation", "decided_by", F.element_at("trace", -1)["name"].alias("last"), "explanation")
