@@ -253,8 +253,8 @@ def literal_scope_shifts(df):
 
 
 @cases("raw:string; predicate:string", "name:string, canonical:string", [
-    ("Delhivery Limited", "Revenue from services", "delhivery", "revenue_from_services"),
-    ("Delhivery Ltd.", "  EBITDA Margin  ", "delhivery", "ebitda_margin"),
+    ("Foobar Limited", "Revenue from services", "foobar", "revenue_from_services"),
+    ("Foobar Ltd.", "  EBITDA Margin  ", "foobar", "ebitda_margin"),
     ("  The  Reserve Bank of India ", "the real GDP growth of", "reserve bank of india", "real_gdp_growth"),
     ("Acme Private Limited", "", "acme", ""),
     ("Express Parcel (segment)", "", "express parcel", ""),
@@ -273,9 +273,9 @@ def literal_addresses(df):
 
 
 @cases("raw:string", "kind:string", [
-    ("Delhivery Limited", "organisation"),
-    ("N24-N34, Air Cargo Logistics Centre, New Delhi 110037", "address"),
-    ("Mr. Sahil Barua", "person"),
+    ("Foobar Limited", "organisation"),
+    ("N12-N14, Dock Road Centre, New Town 110037", "address"),
+    ("Mr. Amit Rao", "person"),
     ("real gdp growth", "concept"),
 ])
 def literal_entity_types(df):
@@ -526,8 +526,8 @@ def literal_judged(df):
 @cases("subject:string; value_raw:string; unit_raw:string; label:string; guess:string; quote:string; note:string", (
     "name:string, value_num:double, period_start:date, basis:string, n_qualifiers:int, note_kept:string, method:string, page_index:int, page_label:string, quoted:boolean"
 ), [
-    ("Delhivery Limited", "Rs 8,142 Cr", "", "FY24", None, "Rs 8,142 Cr", None, "delhivery", 8.142e10, date(2023, 4, 1), "fiscal_in", 1, None, "exact", 0, "1", True),
-    ("Delhivery Ltd.", "about 1.4", "Mn Tons", None, "FY23", "PTL freight tonnage", "rounded", "delhivery", 1400000.0, date(2022, 4, 1), "as guessed", 3, "rounded", "exact", 1, "2", True),
+    ("Foobar Limited", "Rs 8,142 Cr", "", "FY24", None, "Rs 8,142 Cr", None, "foobar", 8.142e10, date(2023, 4, 1), "fiscal_in", 1, None, "exact", 0, "1", True),
+    ("Foobar Ltd.", "about 1.4", "Mn Tons", None, "FY23", "PTL freight tonnage", "rounded", "foobar", 1400000.0, date(2022, 4, 1), "as guessed", 3, "rounded", "exact", 1, "2", True),
     ("Acme", "12", None, None, None, "not said anywhere in this text", None, "acme", 12.0, None, "unknown", 1, None, "fuzzy_failed", 0, "1", False),
 ])
 def literal_built_facts(df):
